@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -49,6 +50,12 @@ def cut(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with, now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_broadcast(ids: DataFrame, rows: int) -> DataFrame:
     """Hints a broadcast only where the counted rows keep it under a fixed size."""
     return F.broadcast(ids) if rows <= BROADCAST_IDS else ids

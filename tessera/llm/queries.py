@@ -54,6 +54,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.expr("n_bytes - octet_length(kept)").cast("long")
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import THRESHOLD, score_quality, train_on
 
