@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import shared_dir, text_slices
 
@@ -129,8 +130,9 @@ def drop_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return dropped_lines(line_hashes(known, least), partitions).groupBy("doc_id").agg(F.collect_set("pos").alias("places")).mapInArrow(pack, "doc_id long, dropped binary")
 
 
-def keep_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text): whole texts without their dropped lines."""
+def keep_lines(docs: DataFrame, bitmaps: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text, *carry): whole texts without their dropped lines; columns named in `carry` come along."""
+    carried = docs.select(*carry).schema if carry else StructType()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,12 +145,14 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                     lines.append(len(all_lines))
                     lost.append(len(all_lines) - len(kept))
                     texts.append("\n".join(kept))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_dropped", "text"])
+                own = [part.column("doc_id"), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays([*own, *[part.column(c) for c in carry]], ["doc_id", "n_lines", "n_dropped", "text", *carry])
 
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(bitmaps, "doc_id", "left")
-    return both.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string")
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).join(bitmaps, "doc_id", "left")
+    own = StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long").add("text", "string")
+    return both.mapInArrow(run, StructType([*own.fields, *carried.fields]))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text) of every row of `docs`; see drop_bitmaps()."""
-    return keep_lines(docs, drop_bitmaps(docs, least))
+def dedup_lines(docs: DataFrame, least: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text, *carry) of every row of `docs`; see drop_bitmaps() and keep_lines()."""
+    return keep_lines(docs, drop_bitmaps(docs, least), carry)
