@@ -2,7 +2,8 @@
 
 Every string of `length` bytes belongs to its smallest hashed gram, so equal strings belong to equal grams. A *run* is a
 maximal row of strings of one gram in one text. Runs of grams that occur once need no more work. The others are sorted
-by gram and content into shards of bounded size; equal runs are represented by two of them. A shard's suffix array is
+by gram and content into shards of bounded size; equal runs are counted before, and one of them stands for all in the
+array, where its strings count as often. A shard's suffix array is
 built by Larsson-Sadakane refinement, the common prefixes come from Kasai's observation, and neighbours that share
 `length` bytes are repeats. A gram's runs can be cut across shards; the strings of such grams are merged across shards by
 binary search over their sorted digests.
@@ -89,14 +90,19 @@ def find_runs(data: np.ndarray, offsets: np.ndarray, length: int):
     return text[starts], starts - offsets[text[starts]], n, least[starts].view(np.int64), content.view(np.int64), weight.astype(np.int64)
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """The seven codes (0 to 256) from each place on as one number; 0 after the end."""
+    one = np.concatenate([codes, np.zeros(7, codes.dtype)]).astype(np.int64)
+    two = one[:-1] << 9 | one[1:]
+    four = two[:-2] << 18 | two[2:]
+    n = len(codes)
+    return four[:n] << 27 | two[4 : 4 + n] << 9 | one[6 : 6 + n]
+
+
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of `codes` (0 to 256) sorted by their first `depth` codes at least, by Larsson-Sadakane refinement."""
     n = len(codes)
-    wide = np.concatenate([codes, np.zeros(7, codes.dtype)]).astype(np.int64)
-    key = wide[:n].copy()
-    for k in range(1, 7):
-        key <<= 9
-        key |= wide[k : k + n]
+    key = packed(codes)
     order = np.argsort(key)
     key = key[order]
     rank = np.empty(n + 1, np.int64)
@@ -135,11 +141,7 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
     heads[1:] = (before[1:] < 1) | (before[:-1] != before[1:] - 1) | (codes[:-1] != codes[np.maximum(before[1:], 1) - 1])
     at = np.flatnonzero(heads & (before >= 0))
     found = np.zeros(n, np.int64)
-    wide = np.concatenate([codes, np.zeros(8, codes.dtype)]).astype(np.int64)
-    pack = wide[:n].copy()
-    for k in range(1, 7):
-        pack = pack << 9 | wide[k : k + n]
-    pack = np.append(pack, 0)
+    pack = np.append(packed(codes), 0)
     a, b, whose = at.copy(), before[at], at
     while len(a):
         same = (pack[a] == pack[b]) & (a + 7 <= n) & (b + 7 <= n)
@@ -223,14 +225,12 @@ def shard_results(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     size = 0
 
     def flush(cut_grams: set[int]) -> Iterator[pa.RecordBatch]:
-        gram, content, n, lead, hot, raw = zip(*held, strict=True)
-        gram, content, n, lead = np.array(gram), np.array(content), np.array(n), np.array(lead)
+        gram, content, n, copies, hot, raw = zip(*held, strict=True)
+        gram, content, n, copies = np.array(gram), np.array(content), np.array(n), np.array(copies)
         of, group = repeated_strings(list(raw), n, length)
-        _, back, count = np.unique(group, return_inverse=True, return_counts=True)
-        again = count[back] > 1
+        again = np.bincount(group, weights=copies[of])[group] > 1
         first = np.cumsum(n) - n
-        # Two equal runs get the same answer, which the leading one gives.
-        a, b = spans(again & lead[of], of)
+        a, b = spans(again, of)
         k = of[a]
         yield pa.RecordBatch.from_arrays([pa.array(gram[k]), pa.array(content[k]), pa.array(a - first[k]), pa.array(b - first[k]), pa.nulls(len(a), pa.binary())], SHARD_NAMES)
         edges = cut_grams | {g for g, h in zip(gram.tolist(), hot, strict=True) if h}
@@ -244,7 +244,7 @@ def shard_results(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 
     was_cut: set[int] = set()
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "content", "n", "lead", "hot", "raw")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "content", "n", "copies", "hot", "raw")), strict=True):
             if size > SHARD and (row[0] != held[-1][0] or size > 2 * SHARD):
                 cut_now = {row[0]} if row[0] == held[-1][0] else set()
                 yield from flush(was_cut | cut_now)
@@ -285,11 +285,9 @@ def repeated_rows(docs: DataFrame, length: int) -> DataFrame:
     common = cut(runs.drop("weight").join(often, "gram"), "common-runs")
     release(spark)
     one = F.struct("doc_id", "start", "n")
-    pairs = common.groupBy("gram", "content").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.max("seen").alias("seen"))
-    stand = F.array_distinct(F.array("a", "b"))
-    reps = pairs.select("gram", "content", "seen", "a", F.explode(stand).alias("r")).select(
-        F.col("r.doc_id").alias("doc_id"), F.struct("gram", "content", "seen", F.col("r.start").alias("start"), F.col("r.n").alias("n"), (F.col("r") == F.col("a")).alias("lead")).alias("run")
-    )
+    classes = common.groupBy("gram", "content").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.max("seen").alias("seen"))
+    copies = F.when(F.col("a") == F.col("b"), 1).otherwise(2)  # rows of one doc_id are one document
+    reps = classes.select(F.col("a.doc_id").alias("doc_id"), F.struct("gram", "content", "seen", F.col("a.start").alias("start"), F.col("a.n").alias("n"), copies.alias("copies")).alias("run"))
     wanted = cut(reps.groupBy("doc_id").agg(F.collect_list("run").alias("runs")), "wanted-runs")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,14 +296,14 @@ def repeated_rows(docs: DataFrame, length: int) -> DataFrame:
                 rows = []
                 for text, own in zip(part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True):
                     data = text.encode()
-                    rows += [(r["gram"], r["content"], r["seen"], r["n"], r["lead"], data[r["start"] : r["start"] + r["n"] + length - 1]) for r in own]
+                    rows += [(r["gram"], r["content"], r["seen"], r["n"], r["copies"], data[r["start"] : r["start"] + r["n"] + length - 1]) for r in own]
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["gram", "content", "seen", "n", "lead", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "content", "seen", "n", "copies", "raw"])
 
-    texts = with_text(docs, wanted).mapInArrow(contexts, "gram long, content long, seen long, n long, lead boolean, raw binary")
+    texts = with_text(docs, wanted).mapInArrow(contexts, "gram long, content long, seen long, n long, copies long, raw binary")
     salt = F.pmod("content", F.ceil(F.col("seen") / HOT))
     dealt = texts.withColumn("hot", F.col("seen") > HOT).repartition(partitions, "gram", salt).sortWithinPartitions("gram", "content")
-    results = cut(dealt.select("gram", "content", "n", "lead", "hot", "raw").mapInArrow(lambda it: shard_results(it, length), SHARD_ROW), "shards")
+    results = cut(dealt.select("gram", "content", "n", "copies", "hot", "raw").mapInArrow(lambda it: shard_results(it, length), SHARD_ROW), "shards")
     release(spark)
     merged = results.where("digest is not null").repartition(partitions, "digest").sortWithinPartitions("digest").mapInArrow(merge_edges, "gram long, content long, lo long, hi long")
     found = results.where("digest is null").select("gram", "content", "lo", "hi").unionByName(merged)
