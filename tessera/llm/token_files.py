@@ -29,7 +29,10 @@ BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 24
 
 #: Distinct chunks of text whose ids an encoding task keeps.
-CHUNK_MEMO = 400_000
+CHUNK_MEMO = 500_000
+
+#: Words with one mark behind them, which tokenizers that part letters from marks encode as the word and the mark.
+MARKED = re.compile(r"([A-Za-z]+)([.,])").fullmatch
 
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -88,15 +91,35 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         tokenizer.no_padding()
         memo: dict[str, bytes] = {}
         end = int(end_id).to_bytes(4, "little")
+
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        special = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+
+        def encode(words: list[str]) -> None:
+            for word in filter(special, words):  # an added token belongs to no word
+                memo[word] = np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            words = [w for w in words if w not in memo]
+            if words:
+                both = tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
+                raw, ends = np.array(both.ids, "<u4").tobytes(), np.searchsorted(np.array(both.word_ids), np.arange(len(words)), "right") * 4
+                start = 0
+                for word, stop in zip(words, ends.tolist(), strict=True):
+                    memo[word] = raw[start:stop]
+                    start = stop
+
+        def learn(new: set[str]) -> None:
+            marked = {c: m.groups() for c in new if (m := MARKED(c))}
+            encode(list((new - marked.keys() | {w for pair in marked.values() for w in pair}) - memo.keys()))
+            for chunk, (word, mark) in marked.items():
+                memo[chunk] = memo[word] + memo[mark]
+
         for batch in batches:
             for part in text_slices(batch):
                 chunks = [CHUNKS(t or "") for t in part.column("text").to_pylist()]
-                new = list({c for cs in chunks for c in cs} - memo.keys())
-                if len(memo) + len(new) > CHUNK_MEMO:
+                distinct = set().union(*chunks)
+                if len(memo) > CHUNK_MEMO:
                     memo.clear()
-                    new = list({c for cs in chunks for c in cs})
-                for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    memo[c] = np.array(e.ids, "<u4").tobytes()
+                learn(distinct - memo.keys())
                 ids = pa.array([b"".join(map(memo.__getitem__, cs)) + end for cs in chunks], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
