@@ -1,11 +1,407 @@
-"""Query catalogue: one query for each operator over the standard tables, with its SQL."""
+"""Query catalogue: one query for each operator over the standard tables, with its SQL.
+
+Rows are numbered by unique dense keys (o_orderkey, event_id), as files give no order of their own.
+"""
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .. import functions as fn
+from ..operators import filters as flt
+from ..operators import nested, ranges, stats
+from ..sources import metadata
+from ..sources.scan import head, project, scan
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query and its SQL; those without SQL are held against fixtures in the tests."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
+    return scan(spark, f"{sf_dir}/{name}.parquet", **options)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = (flt.between_f64("l_discount", 0.05, 0.07), flt.cmp_f64("l_quantity", "lt", 24.0))
+    return read(spark, sf_dir, "lineitem", columns=["l_orderkey", "l_linenumber", "l_quantity", "l_discount"], filters=wanted)
+
+
+# Scan, projection, filters
+
+
+@query("SELECT * FROM nation")
+def scan_all(spark, d):
+    return read(spark, d, "nation")
+
+
+@query("SELECT c_acctbal, c_name, c_custkey FROM customer")
+def project_cols(spark, d):
+    return project(read(spark, d, "customer"), ["c_acctbal", "c_name", 0])
+
+
+SIGNS = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+
+
+def comparison(name: str, table: str, columns: str, op: str, column: str, literal: str, make) -> None:
+    @query(f"SELECT {columns} FROM {table} WHERE {column} {SIGNS[op]} {literal}", f"filter_{name}_{op}")
+    def run(spark, d):
+        return read(spark, d, table, filters=(make(column, op),)).select(*columns.split(", "))
+
+
+for _op in SIGNS:
+    comparison("i32", "part", "p_partkey, p_size", _op, "p_size", "25", lambda c, o: flt.cmp_i32(c, o, 25))
+    comparison("i64", "orders", "o_orderkey, o_custkey", _op, "o_custkey", "700", lambda c, o: flt.cmp_i64(c, o, 700))
+    comparison("f64", "lineitem", "l_orderkey, l_discount", _op, "l_discount", "CAST(0.05 AS DOUBLE)", lambda c, o: flt.cmp_f64(c, o, 0.05))
+    comparison("bytes", "orders", "o_orderkey, o_orderpriority", _op, "o_orderpriority", "'3-MEDIUM'", lambda c, o: flt.cmp_bytes(c, o, "3-MEDIUM"))
+
+
+@query("SELECT c_custkey, CAST(c_acctbal AS FLOAT) AS bal FROM customer WHERE CAST(c_acctbal AS FLOAT) > CAST(5000.5 AS FLOAT)")
+def filter_f32_cmp(spark, d):
+    return flt.where_all(read(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("float").alias("bal")), flt.cmp_f32("bal", "gt", 5000.5))
+
+
+@query("SELECT c_custkey, CAST(c_acctbal AS FLOAT) AS bal FROM customer WHERE CAST(c_acctbal AS FLOAT) BETWEEN CAST(100 AS FLOAT) AND CAST(900 AS FLOAT)")
+def filter_f32_between(spark, d):
+    return flt.where_all(read(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("float").alias("bal")), flt.between_f32("bal", 100, 900))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20")
+def filter_i32_between(spark, d):
+    return read(spark, d, "part", columns=["p_partkey", "p_size"], filters=(flt.between_i32("p_size", 10, 20),))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 100 AND 300")
+def filter_i64_between(spark, d):
+    return read(spark, d, "orders", columns=["o_orderkey", "o_custkey"], filters=(flt.between_i64("o_custkey", 100, 300),))
+
+
+@query("SELECT l_orderkey, l_discount FROM lineitem WHERE l_discount BETWEEN CAST(0.05 AS DOUBLE) AND CAST(0.07 AS DOUBLE)")
+def filter_f64_between(spark, d):
+    return read(spark, d, "lineitem", columns=["l_orderkey", "l_discount"], filters=(flt.between_f64("l_discount", 0.05, 0.07),))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority BETWEEN '2' AND '3-ZZZ'")
+def filter_bytes_between(spark, d):
+    return read(spark, d, "orders", columns=["o_orderkey", "o_orderpriority"], filters=(flt.between_bytes("o_orderpriority", "2", "3-ZZZ"),))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey < 500 AND o_totalprice >= CAST(1000 AS DOUBLE) AND o_orderstatus = 'O'")
+def filter_and(spark, d):
+    wanted = (flt.cmp_i64("o_custkey", "lt", 500), flt.cmp_f64("o_totalprice", "ge", 1000.0), flt.cmp_bytes("o_orderstatus", "eq", "O"))
+    return read(spark, d, "orders", columns=["o_orderkey", "o_custkey", "o_totalprice"], filters=wanted)
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size % 7 = 3")
+def raw_predicate(spark, d):
+    return read(spark, d, "part", columns=["p_partkey", "p_size"], filters=(flt.raw("p_size", lambda c: c % 7 == 3),))
+
+
+@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
+def head_n(spark, d):
+    return head(read(spark, d, "orders"), 5, "o_orderkey")
+
+
+@query("SELECT count(*) AS n FROM events")
+def count_rows(spark, d):
+    return read(spark, d, "events").agg(F.count("*").alias("n"))
+
+
+# Statistics and pages
+
+STATS_SQL = "SELECT '{0}' AS \"column\", count(*) AS n_values, count(*) - count({0}) AS null_count, CAST(min({0}) AS VARCHAR) AS min, CAST(max({0}) AS VARCHAR) AS max FROM {1}"
+NULLABLE = "(SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS u, CASE WHEN event_id % 5 = 0 THEN event_type END AS t, CAST(NULL AS INTEGER) AS none FROM events)"
+
+
+@query(" UNION ALL ".join(STATS_SQL.format(c, "orders") for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")))
+def column_stats(spark, d):
+    return stats.column_stats(read(spark, d, "orders"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(" UNION ALL ".join(STATS_SQL.format(c, NULLABLE) for c in ("u", "t", "none")))
+def stats_nullable(spark, d):
+    e = read(spark, d, "events").select(F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("u"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("t"), F.lit(None).cast("int").alias("none"))
+    return stats.column_stats(e, "u", "t", "none")
+
+
+PAGES = "SELECT o_orderkey // 500 AS page, min(o_orderkey) AS first_row, count(*) AS n_rows, count(*) - count({0}) AS null_count, count({0}) = 0 AS null_page, min({0}) AS min, max({0}) AS max FROM orders GROUP BY 1"
+
+
+@query(PAGES.format("o_custkey"))
+def page_stats(spark, d):
+    return stats.page_stats(read(spark, d, "orders"), "o_orderkey", "o_custkey", 500)
+
+
+@query(f"WITH p AS ({PAGES.format('o_custkey')}) SELECT page, first_row, lead(first_row, 1, (SELECT count(*) FROM orders)) OVER (ORDER BY page) AS end_row FROM p")
+def page_boundaries(spark, d):
+    orders = read(spark, d, "orders")
+    return stats.page_boundaries(stats.page_stats(orders, "o_orderkey", "o_custkey", 500), orders.count()).select("page", "first_row", "end_row")
+
+
+@query(f"WITH p AS ({PAGES.format('o_orderkey')}), s AS (SELECT min, max, lag(min) OVER (ORDER BY page) AS a, lag(max) OVER (ORDER BY page) AS b FROM p) "
+       "SELECT CASE WHEN bool_and(coalesce(min >= a AND max >= b, true)) THEN 'ascending' WHEN bool_and(coalesce(min <= a AND max <= b, true)) THEN 'descending' ELSE 'unordered' END AS boundary_order FROM s")
+def boundary_order(spark, d):
+    return stats.boundary_order(stats.page_stats(read(spark, d, "orders"), "o_orderkey", "o_orderkey", 500))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey // 100 IN (SELECT o_orderkey // 100 FROM orders GROUP BY 1 HAVING max(o_totalprice) > 499000)")
+def page_filter_superset(spark, d):
+    return stats.page_filter(read(spark, d, "orders"), "o_orderkey", 100, flt.cmp_f64("o_totalprice", "gt", 499000.0)).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey // 100 IN (SELECT o_orderkey // 100 FROM orders GROUP BY 1 HAVING min(o_custkey) <= 3) "
+       "AND o_orderkey // 100 IN (SELECT o_orderkey // 100 FROM orders GROUP BY 1 HAVING max(o_totalprice) >= 400000)")
+def page_filter_two(spark, d):
+    wanted = (flt.cmp_i64("o_custkey", "le", 3), flt.cmp_f64("o_totalprice", "ge", 400000.0))
+    return stats.page_filter(read(spark, d, "orders"), "o_orderkey", 100, *wanted).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_orderkey // 2500 AS row_group FROM orders")
+def row_group_numbering(spark, d):
+    return stats.paged(read(spark, d, "orders"), "o_orderkey", 2500).select("o_orderkey", F.col("page").alias("row_group"))
+
+
+@query("SELECT lang, CAST(sum(n_chars) AS BIGINT) AS total, 100.0 * sum(n_chars) / (SELECT sum(n_chars) FROM documents) AS pct FROM documents GROUP BY lang")
+def size_share(spark, d):
+    return stats.size_share(read(spark, d, "documents"), "lang", "n_chars")
+
+
+@query("SELECT 'p_brand' AS \"column\", count(DISTINCT p_brand) AS n_distinct, count(p_brand) AS n_values, count(DISTINCT p_brand) <= 0.67 * count(p_brand) AS use_dictionary FROM part "
+       "UNION ALL SELECT 'p_name', count(DISTINCT p_name), count(p_name), count(DISTINCT p_name) <= 0.67 * count(p_name) FROM part")
+def dict_cutoff(spark, d):
+    return stats.dictionary_cutoff(read(spark, d, "part"), ["p_brand", "p_name"], 0.67)
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def distinct_codes(spark, d):
+    return read(spark, d, "events").select("event_type").distinct()
+
+
+# Row ranges: A has a range for each event of one kind of users, B for another
+
+RANGE_A = "SELECT event_id * 3 % 5000 AS first, event_id * 3 % 5000 + user_id % 4 AS last FROM events WHERE user_id % 3 = 0"
+RANGE_B = "SELECT event_id * 7 % 5000 AS first, event_id * 7 % 5000 + user_id % 5 AS last FROM events WHERE user_id % 3 = 1"
+
+
+def islands(source: str) -> str:
+    return (
+        f"SELECT min(first) AS first, max(last) AS last FROM (SELECT first, last, sum(n) OVER (ORDER BY first, last) AS g FROM (SELECT first, last, CASE WHEN first <= "
+        f"max(last) OVER (ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM ({source}) AS s WHERE last > first) AS t) AS u GROUP BY g"
+    )
+
+
+def range_sets(spark, d):
+    e, start = read(spark, d, "events"), lambda k: F.col("event_id") * k % 5000
+    a = e.where("user_id % 3 = 0").select(start(3).alias("first"), (start(3) + F.col("user_id") % 4).alias("last"))
+    b = e.where("user_id % 3 = 1").select(start(7).alias("first"), (start(7) + F.col("user_id") % 5).alias("last"))
+    return a, b
+
+
+@query(islands(RANGE_A))
+def ranges_normalize(spark, d):
+    return ranges.normalize(range_sets(spark, d)[0])
+
+
+@query(islands(f"{RANGE_A} UNION ALL {RANGE_B}"))
+def ranges_union(spark, d):
+    return ranges.union(*range_sets(spark, d))
+
+
+INTERSECT = f"WITH a AS ({islands(RANGE_A)}), b AS ({islands(RANGE_B)}) SELECT greatest(a.first, b.first) AS first, least(a.last, b.last) AS last FROM a JOIN b ON a.first < b.last AND b.first < a.last"
+
+
+@query(INTERSECT)
+def ranges_intersect(spark, d):
+    a, b = range_sets(spark, d)
+    return ranges.intersect(ranges.normalize(a), ranges.normalize(b))
+
+
+@query(f"WITH a AS ({islands(RANGE_A)}) SELECT event_id FROM events WHERE EXISTS (SELECT 1 FROM a WHERE a.first <= event_id AND event_id < a.last)")
+def ranges_contains(spark, d):
+    return ranges.contains(read(spark, d, "events").select("event_id"), "event_id", ranges.normalize(range_sets(spark, d)[0]))
+
+
+@query(f"SELECT CAST(sum(last - first) AS BIGINT) AS n_rows FROM ({islands(RANGE_A)}) AS r")
+def ranges_count(spark, d):
+    return ranges.row_count(ranges.normalize(range_sets(spark, d)[0]))
+
+
+@query(f"SELECT count(*) = 1 AND min(first) = 0 AND max(last) = 5000 AS is_full FROM ({islands(RANGE_A)}) AS r")
+def ranges_is_full(spark, d):
+    return ranges.is_full(ranges.normalize(range_sets(spark, d)[0]), 5000)
+
+
+# Nested values
+
+
+@query("SELECT vec_id, i - 1 AS pos, embedding[i] AS value, 3 AS def_level FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)")
+def list_flatten(spark, d):
+    return nested.flatten_list(read(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query("SELECT vec_id, len(embedding) AS n, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings")
+def list_access(spark, d):
+    e = F.col("embedding")
+    return read(spark, d, "embeddings").select("vec_id", F.size(e).cast("bigint").alias("n"), F.get(e, F.lit(0)).alias("first"), F.element_at(e, -1).alias("last"))
+
+
+@query('SELECT conv_id, array_to_string(list(role ORDER BY turn), \'|\') AS roles FROM conversations GROUP BY conv_id')
+def list_assemble(spark, d):
+    return nested.assemble_list(read(spark, d, "conversations"), "conv_id", "turn", "role").select("conv_id", F.array_join("values", "|").alias("roles"))
+
+
+@query("SELECT n_nationkey, n_name AS entry_key, n_regionkey AS entry_value FROM nation")
+def map_access(spark, d):
+    n = read(spark, d, "nation").select("n_nationkey", F.create_map("n_name", "n_regionkey").alias("m"))
+    return nested.flatten_map(n, "n_nationkey", "m")
+
+
+@query("SELECT s_suppkey, s_name AS name, s_acctbal AS bal, CAST(NULL AS INTEGER) AS missing FROM supplier")
+def struct_access(spark, d):
+    s = read(spark, d, "supplier").select("s_suppkey", F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal")).alias("s"))
+    wanted = StructType().add("name", "string").add("bal", "double").add("missing", "integer")
+    return s.select("s_suppkey", nested.by_name(F.col("s"), s.schema["s"].dataType, wanted).alias("s")).select("s_suppkey", "s.*")
+
+
+@query("SELECT count(*) AS entries, count(embedding) AS present, count(*) - count(embedding) AS nulls FROM embeddings")
+def column_nulls_from_levels(spark, d):
+    return read(spark, d, "embeddings").agg(F.count("*").alias("entries"), F.count("embedding").alias("present"), F.count_if(F.col("embedding").isNull()).alias("nulls"))
+
+
+# Scalar functions
+
+
+@query("SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS s, epoch_us(ts) * 1000 AS ns FROM events")
+def ts_convert(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    to = lambda unit: fn.convert_time(us, "micros", unit)
+    return read(spark, d, "events").select("event_id", us.alias("us"), to("millis").alias("ms"), to("seconds").alias("s"), to("nanos").alias("ns"))
+
+
+@query("SELECT o_orderkey, DATE '1970-01-01' + CAST(o_orderkey AS INTEGER) AS day FROM orders")
+def date_from_days(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", fn.date_from_days(F.col("o_orderkey")).alias("day"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 86400000000 + 2440588 AS day, epoch_us(ts) % 86400000000 * 1000 AS nanos, epoch_us(ts) * 1000 AS back FROM events")
+def int96_roundtrip(spark, d):
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    parts = read(spark, d, "events").select("event_id", fn.int96_days(ns).alias("day"), fn.int96_nanos_of_day(ns).alias("nanos"))
+    return parts.withColumn("back", fn.int96_to_nanos(F.col("day"), F.col("nanos")))
+
+
+@query("SELECT o_orderkey, 'P' || CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 4) || 'M' ELSE '' END || CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 3) || 'D' ELSE '' END || "
+       "CASE WHEN o_orderkey % 5 > 0 THEN 'T' || (o_orderkey % 5) || 'H' ELSE '' END || CASE WHEN o_orderkey % 60 = 0 THEN '0D' ELSE '' END AS text FROM orders")
+def interval_text(spark, d):
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders").select("o_orderkey", fn.interval_text(k % 4, k % 3, fn.interval_from(k % 5, 3_600_000)).alias("text"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 7 AS months, o_orderkey AS days, o_orderkey * 1000 AS millis FROM orders")
+def interval_bytes(spark, d):
+    k = F.col("o_orderkey")
+    raw = read(spark, d, "orders").select("o_orderkey", fn.interval_bytes(k % 7, k, k * 1000).alias("raw"))
+    return raw.select("o_orderkey", fn.interval_parts(F.col("raw")).alias("p")).select("o_orderkey", "p.*")
+
+
+@query("SELECT l_orderkey, l_extendedprice, CAST(round(l_extendedprice * 100) AS BIGINT) AS unscaled FROM lineitem")
+def decimal_unscaled(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", fn.decimal_unscaled(F.col("l_extendedprice"), 2).cast("bigint").alias("unscaled"))
+
+
+@query("SELECT o_orderkey, TRY_CAST(o_orderkey * 1000000 AS INTEGER) AS narrow FROM orders")
+def try_narrow(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", fn.narrow(F.col("o_orderkey") * 1000000, "int").alias("narrow"))
+
+
+@query("SELECT o_orderkey, CAST(least(CAST(o_orderkey AS HUGEINT) * 1000000000000000, 9223372036854775807) AS BIGINT) AS product FROM orders")
+def saturating_mul(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", fn.saturating_mul(F.col("o_orderkey"), F.lit(10**15)).alias("product"))
+
+
+@query("SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS hex, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS text "
+       "FROM (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents) AS t")
+def uuid_parse(spark, d):
+    text = fn.uuid_text(F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary"))))
+    raw = fn.uuid_parse(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", text.alias("text")).select("doc_id", F.lower(F.hex(raw)).alias("hex"), "text")
+
+
+@query("SELECT n_nationkey, '0x' || lower(hex(encode(n_name))) AS text FROM nation")
+def hex_text(spark, d):
+    return read(spark, d, "nation").select("n_nationkey", fn.hex_text(F.col("n_name").cast("binary")).alias("text"))
+
+
+@query("SELECT page_id, CASE WHEN octet_length(encode(url)) > 50 THEN substr(url, 1, 47) || '...' ELSE url END AS cell FROM pages")
+def cell_truncate(spark, d):
+    return read(spark, d, "pages").select("page_id", fn.cell_text(F.col("url")).alias("cell"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f', floor(n_chars / 1024.0 * 10 + 0.5) / 10) || ' KB' END AS text FROM documents")
+def size_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", fn.size_text(F.col("n_chars")).alias("text"))
+
+
+@query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS value FROM nation")
+def ndjson(spark, d):
+    n = read(spark, d, "nation")
+    return n.select("n_nationkey", fn.ndjson(n).alias("value"))
+
+
+@query("SELECT min(c_acctbal) AS xmin, min(CAST(c_custkey AS DOUBLE)) AS ymin, max(c_acctbal) AS xmax, max(CAST(c_custkey AS DOUBLE)) AS ymax FROM customer")
+def wkb_bbox(spark, d):
+    @F.pandas_udf("binary")
+    def point(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(x, y, strict=True)])
+
+    points = read(spark, d, "customer").select(point("c_acctbal", F.col("c_custkey").cast("double")).alias("geom"))
+    return fn.bounding_box(points, "geom").select("xmin", "ymin", "xmax", "ymax")
+
+
+# Metadata of the table files
+
+
+@query()
+def footer_meta(spark, d):
+    return metadata.footers(spark, f"{d}/orders.parquet", f"{d}/nation.parquet").select(F.regexp_extract("file", r"[^/]+$", 0).alias("name"), "num_rows", "num_row_groups", "num_leaves")
+
+
+@query()
+def chunk_meta(spark, d):
+    return metadata.chunks(spark, f"{d}/orders.parquet").select("row_group", "path", "physical_type", "codec", "num_values", "null_count")
+
+
+@query()
+def size_breakdown(spark, d):
+    return metadata.column_summary(metadata.chunks(spark, f"{d}/orders.parquet")).select("path", "compressed", "pct")
+
+
+@query()
+def validate_files(spark, d):
+    return metadata.validate(spark, f"{d}/orders.parquet", f"{d}/nation.parquet").select(F.regexp_extract("file", r"[^/]+$", 0).alias("name"), "status", "rows_read")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
