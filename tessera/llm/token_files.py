@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +30,8 @@ FILE_IDS = 1 << 24
 #: Distinct chunks of text whose ids an encoding task keeps.
 CHUNK_MEMO = 500_000
 
-#: Words with one mark behind them, which tokenizers that part letters from marks encode as the word and the mark.
-MARKED = re.compile(r"([A-Za-z]+)([.,])").fullmatch
+#: Letters, perhaps with one mark behind: tokenizers of lower case that part letters from marks encode the word and the mark.
+MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -92,26 +91,27 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         memo: dict[str, bytes] = {}
         end = int(end_id).to_bytes(4, "little")
 
-        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        special = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        last = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())])
 
         def encode(words: list[str]) -> None:
-            for word in filter(special, words):  # an added token belongs to no word
-                memo[word] = np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            words = [w for w in words if w not in memo]
-            if words:
-                both = tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
-                raw, ends = np.array(both.ids, "<u4").tobytes(), np.searchsorted(np.array(both.word_ids), np.arange(len(words)), "right") * 4
-                start = 0
-                for word, stop in zip(words, ends.tolist(), strict=True):
-                    memo[word] = raw[start:stop]
-                    start = stop
+            """Words of letters in one call: each ends with the only token that ends a word."""
+            raw = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(last[raw]) + 1
+            packed, start = raw.tobytes(), 0
+            for word, stop in zip(words, (ends * 4).tolist(), strict=True):
+                memo[word] = packed[start:stop]
+                start = stop
 
         def learn(new: set[str]) -> None:
-            marked = {c: m.groups() for c in new if (m := MARKED(c))}
-            encode(list((new - marked.keys() | {w for pair in marked.values() for w in pair}) - memo.keys()))
+            marked = {c: (m[1].lower(), m[2]) for c in new if (m := MARKED(c))}
+            words = {w for w, _ in marked.values()} - memo.keys()
+            if words:
+                encode(list(words))
+            others = [*(new - marked.keys()), *({m for _, m in marked.values() if m} - memo.keys())]
+            for chunk, e in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+                memo[chunk] = np.array(e.ids, "<u4").tobytes()
             for chunk, (word, mark) in marked.items():
-                memo[chunk] = memo[word] + memo[mark]
+                memo[chunk] = memo[word] + memo[mark] if mark else memo[word]
 
         for batch in batches:
             for part in text_slices(batch):
@@ -165,19 +165,19 @@ def write_token_files(spark: SparkSession, encoded: DataFrame, folder: str) -> l
             for part in text_slices(batch, "ids"):
                 raw = [np.frombuffer(x or b"", "<u4") for x in part.column("ids").to_pylist()]
                 both = [pack(rank_of[x]) for x in raw]
+                doc = part.column("doc_id").fill_null(-1)
+                bucket = np.searchsorted(bounds, doc.to_numpy(), "right")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").fill_null(-1), pa.array([len(x) for x in raw], pa.int64()), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())],
-                    ["doc_id", "n", "control", "data"],
+                    [pa.array(bucket, pa.int32()), doc, pa.array([len(x) for x in raw], pa.int64()), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())],
+                    ["bucket", "doc_id", "n", "control", "data"],
                 )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
-        k = TaskContext.get().partitionId()
-        name, own = f"{root}/part-{k:05d}.tkv", f"{root}/.{k:05d}-{uuid.uuid4().hex}"
-        docs = n_ids = 0
         held: list[pa.RecordBatch] = []
+        out, bucket, own, docs, n_ids, waiting = None, None, "", 0, 0, 0
 
-        def flush(out) -> None:
+        def flush() -> None:
             if held:
                 rows = pa.Table.from_batches(held)
                 control, data = (b"".join(rows[c].to_pylist()) for c in ("control", "data"))
@@ -186,25 +186,40 @@ def write_token_files(spark: SparkSession, encoded: DataFrame, folder: str) -> l
                 out.write(rows["doc_id"].to_numpy().astype("<i8").tobytes() + counts.astype("<u4").tobytes() + control + data)
                 held.clear()
 
-        with fs.open_output_stream(own) as out:
-            waiting = 0
-            for batch in batches:
-                for part in text_slices(batch, "data"):
+        def close() -> pa.RecordBatch:
+            flush()
+            out.close()
+            name = f"part-{bucket:05d}.tkv"
+            fs.move(own, f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([n_ids], pa.int64())], ["k", "file", "docs", "ids"])
+
+        for batch in batches:
+            buckets = batch.column("bucket").to_numpy()
+            for b in np.unique(buckets).tolist():
+                if b != bucket:
+                    if out is not None:
+                        yield close()
+                    bucket, own, docs, n_ids, waiting = b, f"{root}/.{b:05d}-{uuid.uuid4().hex}", 0, 0, 0
+                    out = fs.open_output_stream(own)
+                first, end = np.searchsorted(buckets, [b, b + 1])
+                for part in text_slices(batch.slice(first, end - first), "data"):
                     n = sum(part.column("n").to_pylist())
                     if waiting and waiting + n > BLOCK_IDS:
-                        flush(out)
+                        flush()
                         waiting = 0
                     held.append(part)
                     waiting, docs, n_ids = waiting + n, docs + part.num_rows, n_ids + n
-            flush(out)
-        fs.move(own, name)
-        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"part-{k:05d}.tkv"]), pa.array([docs]), pa.array([n_ids])], ["k", "file", "docs", "ids"])
+        if out is not None:
+            yield close()
 
+    # Buckets are ranges of doc_id with about as many documents each; a bucket is a file.
     files = max(1, -(-total // FILE_IDS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = encoded.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files) if files > 1 else []
+    bounds = np.unique(np.array(cuts, np.int64))
     done = (
-        encoded.mapInArrow(packed, "doc_id long, n long, control binary, data binary")
-        .repartitionByRange(files, "doc_id")
-        .sortWithinPartitions("doc_id")
+        encoded.mapInArrow(packed, "bucket int, doc_id long, n long, control binary, data binary")
+        .repartition(files, "bucket")
+        .sortWithinPartitions("bucket", "doc_id")
         .mapInArrow(write, "k long, file string, docs long, ids long")
         .collect()
     )

@@ -1,0 +1,229 @@
+"""Each operator against brute force, SQL, an exact round trip or held-out accuracy, on small fixtures with edge cases."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tessera.llm import bpe, decontaminate, language, lines, near, quality, queries, secrets, suffix, token_files
+
+SF = "/root/testdata/sf0.001"
+EDGES = [(900, None), (901, ""), (902, " "), (903, "x"), (904, "\n\n"), (905, "é" * 300), (906, "a" * 3000), (907, "The<|endoftext|> end. don't 漢字\x1c"), (908, "tie of two words"), (909, "tie of two words")]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+    return rows + EDGES
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(d, t, "en", 1) for d, t in texts], "doc_id long, text string, lang string, component_id int").repartition(3)
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def words_of(text):
+    return (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+
+
+def components(texts, k, percent):
+    sets = {d: frozenset(zip(*[w[i:] for i in range(k)])) if len(w := words_of(t)) >= k else frozenset([tuple(w)] if w else []) for d, t in texts}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and x and 100 * (both := len(x & y)) >= percent * (len(x) + len(y) - both):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(docs, texts, k, monkeypatch):
+    monkeypatch.setattr(near, "LEAF", 16)  # so that nodes branch and end in blocks
+    want = components(texts, k, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(docs, k).collect()}
+    assert got == want
+
+
+def test_lines(docs, texts):
+    owner = {}
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(lines.LOWER)
+    for d, t in sorted(texts, key=lambda x: x[0]):
+        for x in (t or "").split("\n"):
+            owner.setdefault(key(x), d)
+    for r in lines.dedup_lines(docs).collect():
+        own = (dict(texts)[r.doc_id] or "").split("\n")
+        kept = [x for x in own if len(key(x)) < 10 or owner[key(x)] == r.doc_id]
+        assert (r.n_lines, r.n_dropped, r.text) == (len(own), len(own) - len(kept), "\n".join(kept))
+
+
+def test_suffix(docs, texts, monkeypatch):
+    def expected(length):
+        seen = {}
+        raw = {d: (t or "").encode() for d, t in texts}
+        for b in raw.values():
+            for i in range(len(b) - length + 1):
+                seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
+        out = {}
+        for d, b in raw.items():
+            gone = np.zeros(len(b), bool)
+            for i in range(len(b) - length + 1):
+                if seen[b[i : i + length]] > 1:
+                    gone[i : i + length] = True
+            out[d] = bytes(np.frombuffer(b, np.uint8)[~gone])
+        return out
+
+    assert {r.doc_id: bytes(r.kept) for r in suffix.remove_repeats(docs).collect()} == expected(200)
+
+
+def test_suffix_order_and_prefixes():
+    rng = random.Random(3)
+    for _ in range(40):
+        n = rng.randint(1, 200)
+        codes = [rng.randint(1, rng.choice([2, 4])) for _ in range(n)]
+        order = suffix.suffix_order(np.array(codes, np.int16), 1000).tolist()
+        assert [codes[i:] for i in order] == sorted(codes[i:] for i in range(n))
+
+
+def test_shards_merge(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(230)
+    texts = [(i, f"{i} {word(40)} {passage} {word(40)}") for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    whole = {r.doc_id: bytes(r.kept) for r in suffix.remove_repeats(df).collect()}
+    assert all(len(k) < 110 for k in whole.values())
+
+
+def test_quality():
+    good, bad = [f"the calm sea was near the town {i} and all was well. " * 8 for i in range(60)], [f"THE!! SEA!! {i} WAS!! %%% " * 12 for i in range(60)]
+    net = quality.train(good[:40] + bad[:40], [1] * 40 + [0] * 40, 0.5)
+    score = net.score(pa.array(good[40:] + bad[40:] + ["", None]))
+    assert (score[:20] > 0.5).all() and (score[20:40] < 0.5).all() and np.isfinite(score).all()
+    assert quality.train([], [], 0.5).score(pa.array(["x"])).tolist() == [0.5]
+
+
+def test_secrets(spark, texts):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    more = ["token: secret: abcdefgh", "PassWord='aaaaaaaaaa' 🙂 api_KEY=12345678", "AKIAAKIAAKIA12345", "🙂" + "a" * 40 + " AKIA" + "Z" * 12, "AKIA" + "Z" * 11, "-----BEGIN RSA PRIVATE KEY-----"]
+    rows = texts + list(enumerate(more, 1000)) + [(None, "secret = abcdefghi")]
+    got = {(r.doc_id, r.text): [tuple(s) for s in r.spans] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), secrets.BASE_RULES).join(spark.createDataFrame(rows, "d long, text string"), F.expr("doc_id <=> d")).select("doc_id", "text", "spans").collect()}
+    for d, t in rows:
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t or "") if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t or "") if len(m[0]) >= 32]
+        assert got[d, t] == sorted(spans)
+
+
+def test_top_k(spark):
+    sql = duckdb.connect()
+    sql.sql(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    want = sorted(sql.sql(queries.oracle_sql()["op6_top_k"]).fetchall())
+    assert sorted(tuple(r) for r in queries.op6_top_k(spark, SF).collect()) == want
+
+
+def test_bpe(docs, texts):
+    path = queries.tokenizer("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for r in bpe.decode_documents(bpe.encode_documents(docs, path), path).collect():
+        ids = library.encode(dict(texts)[r.doc_id] or "", add_special_tokens=False).ids
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids
+        assert r.decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_decontaminate(spark, texts):
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
+    changed = tokens(items[0][1])[:14]
+    changed[4], changed[9] = "zzz", "yyy"
+    rows = texts + [(2000, "before " + " ".join(changed) + " after"), (2001, " ".join(tokens(items[1][1])[:9]))]
+    want = set()
+    for d, t in rows:
+        w = tokens(t)
+        for i, b in ((i, tokens(b)) for i, b in items):
+            for o in range(-len(b) + 12, len(w) - 11):
+                same = [w[o + k] == b[k] for k in range(max(0, -o), min(len(b), len(w) - o))]
+                if sum(same) >= 10 and max(sum(same[s : s + 12]) for s in range(len(same) - 11)) >= 10:
+                    want.add((d, i))
+    found = decontaminate.find_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got == want and (2000, items[0][0]) in got and 2001 not in {d for d, _ in got}
+
+
+def test_language_gradients():
+    net = language.BiGRU(["a", "b", "c"], 3)
+    rows, y = np.random.default_rng(0).integers(0, 256, (5, 9)).astype(np.int16), np.array([0, 1, 2, 1, 0])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    loss = lambda: -np.log(net.probabilities(net.logits(rows).astype(np.float64))[:, np.arange(5), y]).mean()
+    for k, g in net.gradients(rows, y).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        net.p[k][at] += 1e-3
+        up = loss()
+        net.p[k][at] -= 2e-3
+        assert g[at] == pytest.approx((up - loss()) / 2e-3, rel=1e-2)
+        net.p[k][at] += 1e-3
+
+
+def test_language(spark):
+    r = queries.op9_language(spark, "/root/testdata/sf0.01")
+    true = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    share = r.join(true, "doc_id").where("held_out").selectExpr("avg(int(lang = lang_pred))").first()[0]
+    assert share > 0.95
+    edges = spark.createDataFrame([(1, None), (2, "12 34"), (3, "the sea")], "doc_id long, text string")
+    assert [x.lang_pred for x in language.identify(edges, language.train(["the sea", "la mer"], ["en", "fr"])).orderBy("doc_id").collect()][:2] == ["und", "und"]
+    assert language.train([], []) is None
+
+
+def test_token_files(docs, texts):
+    path = queries.tokenizer("word_bpe_49k.json")
+    library, start = Tokenizer.from_file(path), 0
+    got = {r.doc_id: r for r in token_files.token_files(docs, path, 2).collect()}
+    for d, t in sorted(texts, key=lambda x: x[0]):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (got[d].start, np.frombuffer(bytes(got[d].ids), "<u4").tolist()) == (start, ids)
+        start += len(ids)
+
+
+def test_packing():
+    ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], np.uint32)
+    control, data = token_files.pack(ranks)
+    assert (token_files.unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), np.array([7])) == ranks).all()
+
+
+def test_empty_tables(spark):
+    none, path = empty(spark), queries.tokenizer("byte_bpe_50k.json")
+    found = [near.near_duplicates(none), lines.dedup_lines(none), suffix.remove_repeats(none), quality.score_quality(none, quality.train([], [], 0.5)), secrets.scan_secrets(none)]
+    found += [bpe.encode_documents(none, path), language.identify(none, None), token_files.token_files(none, queries.tokenizer("word_bpe_49k.json"), 2)]
+    found += [decontaminate.find_overlaps(none, none.withColumnRenamed("doc_id", "item_id"))]
+    assert [df.count() for df in found] == [0] * len(found)
+
+
+def test_pipeline(spark, tmp_path):
+    sea = "the calm sea was near the old town and all the boats came home before the night fell"
+    item = "which of the seven rivers that cross the northern plain reaches the sea last of all in spring"
+    rows = [(1, sea, "en"), (2, sea + " again", "en"), (3, "1234 5678", "en"), (4, f"quiz note {item} was asked", "en"), (5, f"a line that repeats here\nunique words of number five and {sea[:20]}", "en"), (6, "a line that repeats here\nother words stand in number six", "en")]
+    df = spark.createDataFrame([(d, t, x, "s", len(t)) for d, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 5, 6}
+    assert got[6].decoded_sha256 == hashlib.sha256(b"other words stand in number six").hexdigest()
