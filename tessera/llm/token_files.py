@@ -28,7 +28,7 @@ BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 24
 
 #: Distinct chunks of text whose ids an encoding task keeps.
-CHUNK_MEMO = 500_000
+CHUNK_MEMO = 1_000_000
 
 #: Letters, perhaps with one mark behind: tokenizers of lower case that part letters from marks encode the word and the mark.
 MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
