@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 #: Distinct words kept between slices; the memo is emptied beyond it, which costs time and no results.
-WORD_MEMO = 500_000
+WORD_MEMO = 250_000
 
 # The pattern of byte-level BPE that splits text into words.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -136,7 +136,7 @@ class ByteBPE:
         """Puts the encodings of chunks into the memo."""
         if len(self.memo) > WORD_MEMO:
             self.memo.clear()
-        if len(self.joined) > 4 * WORD_MEMO:
+        if len(self.joined) > 2 * WORD_MEMO:
             self.joined.clear()
         new = [c for c in chunks if c not in self.memo]
         parts = {c: [w.encode() for w in self.split(c)] for c in new}
@@ -164,9 +164,18 @@ class ByteBPE:
         self.memo.update(special)
         return [b"".join(map(self.memo.__getitem__, cs)) for cs in cut]
 
-    def decode(self, packed: bytes) -> str:
-        """The text of ids; invalid UTF-8 becomes U+FFFD."""
-        return b"".join(map(self.table.__getitem__, memoryview(packed).cast("I").tolist())).decode("utf-8", "replace")
+
+def token_table(path: str) -> dict[int, bytes]:
+    """The bytes of each id, added tokens included; all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    to_byte = byte_alphabet()
+    return {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+def decode(table: dict[int, bytes], packed: bytes) -> str:
+    """The text of ids; invalid UTF-8 becomes U+FFFD."""
+    return b"".join(map(table.__getitem__, memoryview(packed).cast("I").tolist())).decode("utf-8", "replace")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -190,10 +199,10 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids, decoded): adds the text of ids, special tokens included; null ids decode to an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(tokenizer_path)
+        table = token_table(tokenizer_path)
         for batch in batches:
             for part in text_slices(batch, "ids"):
-                texts = [bpe.decode(x or b"") for x in part.column("ids").to_pylist()]
+                texts = [decode(table, x or b"") for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
