@@ -10,12 +10,13 @@ each; every document starts a control byte. `ranks.bin` maps ranks to ids (uint3
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +28,16 @@ BLOCK_IDS = 1 << 20
 #: Ids in a file, about.
 FILE_IDS = 1 << 24
 
-#: Distinct chunks of text whose ids an encoding task keeps.
-CHUNK_MEMO = 500_000
+#: Text bytes whose distinct chunks are encoded together; a longer text is taken alone.
+ENCODE_BYTES = 16 << 20
 
-#: Letters, perhaps with one mark behind: tokenizers of lower case that part letters from marks encode the word and the mark.
-MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+#: Letters, perhaps with one mark and a blank behind: tokenizers of lower case that part letters from marks encode the word and the mark.
+MARKED = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,]?) ?$"
 
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
-#: Blanks at which no tokenizer that drops white space has a token across.
-CHUNKS = re.compile(r"[^ \t\r\n]+").findall
+#: Blanks, tabs and line ends, at which no tokenizer that drops white space has a token across.
+BLANKS = np.frombuffer(b" \t\r\n", np.uint8)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -74,53 +75,91 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): ids of whole texts by the tokenizers library, then `end_id`, as little-endian unsigned 32-bit integers.
+class ChunkEncoder:
+    """Encodes distinct chunks of text between blanks, in columns.
 
-    For tokenizers that drop white space: texts are cut at blanks, tabs and line ends and each distinct chunk is encoded once a task.
-    A null text counts as empty and has the end id alone.
+    For tokenizers that drop white space, lower-case, and end each word with a token of its own.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        memo: dict[str, bytes] = {}
-        end = int(end_id).to_bytes(4, "little")
-
-        last = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())])
-
-        def encode(words: list[str]) -> None:
-            """Words of letters in one call: each ends with the only token that ends a word."""
-            raw = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(last[raw]) + 1
-            packed, start = raw.tobytes(), 0
-            for word, stop in zip(words, (ends * 4).tolist(), strict=True):
-                memo[word] = packed[start:stop]
-                start = stop
-
-        def learn(new: set[str]) -> None:
-            marked = {c: (m[1].lower(), m[2]) for c in new if (m := MARKED(c))}
-            words = {w for w, _ in marked.values()} - memo.keys()
-            if words:
-                encode(list(words))
-            others = [*(new - marked.keys()), *({m for _, m in marked.values() if m} - memo.keys())]
-            for chunk, e in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-                memo[chunk] = np.array(e.ids, "<u4").tobytes()
-            for chunk, (word, mark) in marked.items():
-                memo[chunk] = memo[word] + memo[mark] if mark else memo[word]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+
+    def words(self, words: pa.Array) -> pa.Array:
+        """The ids of words of letters, in one call: each ends with the only token that ends a word."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer doesn't end each word with one token")
+        offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+    def others(self, chunks: pa.Array) -> pa.Array:
+        """The ids of any chunks, one by one."""
+        found = self.tokenizer.encode_batch_fast(chunks.to_pylist(), add_special_tokens=False)
+        return pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.binary())
+
+    def encode(self, chunks: pa.Array) -> pa.Array:
+        parts = pc.extract_regex(chunks, MARKED)
+        hit = parts.is_valid()
+        word, mark = parts.filter(hit).flatten()
+        word, mark = pc.utf8_lower(word).dictionary_encode(), mark.dictionary_encode()
+        marked = pc.binary_join_element_wise(self.words(word.dictionary).take(word.indices), self.others(mark.dictionary).take(mark.indices), b"")
+        hit = hit.to_numpy(zero_copy_only=False)
+        order = np.empty(len(chunks), np.int64)
+        order[np.concatenate([np.flatnonzero(hit), np.flatnonzero(~hit)])] = np.arange(len(chunks))
+        return pa.concat_arrays([marked, self.others(chunks.filter(pa.array(~hit)))]).take(pa.array(order))
+
+
+@lru_cache(maxsize=1)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One encoder for each Python worker."""
+    return ChunkEncoder(path)
+
+
+def encode_slice(texts: pa.Array, encoder: ChunkEncoder, end: bytes) -> pa.Array:
+    """The ids of texts without nulls as bytes, `end` behind each.
+
+    Chunks reach up to a blank or the end of their text and are views on one buffer; the ids of the distinct ones are
+    gathered by number, so that no chunk of letters becomes a Python object.
+    """
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].copy()
+    at = at - at[0]
+    blank = np.isin(data, BLANKS)
+    data[blank] = 32
+    edge = np.zeros(len(data) + 1, bool)
+    edge[1:] = blank
+    edge[at] = True
+    edges = np.flatnonzero(edge).astype(np.int32)
+    views = pa.Array.from_buffers(pa.string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    coded = views.dictionary_encode()
+    stops = np.searchsorted(edges, at[1:])
+    codes = np.insert(coded.indices.to_numpy(), stops, len(coded.dictionary))
+    ids = pa.concat_arrays([encoder.encode(coded.dictionary), pa.array([end], pa.binary())]).take(pa.array(codes))
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    offsets = ends[np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])]
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), ids.buffers()[2]])
+
 
+def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """(doc_id, ids): ids of whole texts by the tokenizers library, then `end_id`, as little-endian unsigned 32-bit integers.
+
+    For tokenizers that drop white space: texts are cut at blanks, tabs and line ends and the distinct chunks of about
+    16 MB of texts are encoded once. A null text counts as empty and has the end id alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = chunk_encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for part in text_slices(batch):
-                chunks = [CHUNKS(t or "") for t in part.column("text").to_pylist()]
-                distinct = set().union(*chunks)
-                if len(memo) > CHUNK_MEMO:
-                    memo.clear()
-                learn(distinct - memo.keys())
-                ids = pa.array([b"".join(map(memo.__getitem__, cs)) + end for cs in chunks], pa.binary())
+            for part in text_slices(batch, limit=ENCODE_BYTES):
+                ids = encode_slice(part.column("text").fill_null(""), encoder, end)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
