@@ -193,6 +193,14 @@ def test_language(spark):
     assert language.train([], []) is None
 
 
+def test_training_rows(spark):
+    rows = spark.range(3000).select("id", F.expr("id % 500").alias("doc_id"), F.expr("if(id % 3 = 0, null, 'text ' || id)").alias("text"), F.expr("if(id % 7 = 0, null, 'en')").alias("lang"))
+    everything = rows.where("text is not null and lang is not null").selectExpr("xxhash64(doc_id) as h", "text", "lang").orderBy("h", "lang", "text").collect()
+    for limit in (1, 100, 5000):
+        found = language.training_rows(rows, F.lit(True), limit, 1024)
+        assert [tuple(r) for r in found] == [tuple(r) for r in everything[:limit]]
+
+
 def test_token_files(docs, texts):
     path = queries.tokenizer("word_bpe_49k.json")
     library, start = Tokenizer.from_file(path), 0
