@@ -211,6 +211,15 @@ def test_token_files(docs, texts):
         start += len(ids)
 
 
+def test_encode_slice():
+    encoder = token_files.chunk_encoder(queries.tokenizer("word_bpe_49k.json"))
+    texts = pa.array(["", " ", "a\x0bb c\x0cd", "\n\n", "Ärger, größe. x", " lead", "trail ", "tab\tx\r\ny", "日本 語", "don't stop!!", "İstanbul ß ſ", " nb\u3000sp", "a" * 5000, "é café,"])
+    for part in (texts, texts.slice(3, 5), texts.slice(0, 0), texts.slice(0, 1)):
+        wanted = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in part.to_pylist()]
+        found = token_files.encode_slice(part, encoder, (2).to_bytes(4, "little"))
+        assert [np.frombuffer(x, "<u4").tolist() for x in found.to_pylist()] == wanted
+
+
 def test_packing():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], np.uint32)
     control, data = token_files.pack(ranks)
