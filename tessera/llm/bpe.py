@@ -15,15 +15,19 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, tidied
+from .net import text_bytes
 
 #: Distinct words kept between slices; the memo is emptied beyond it, which costs time and no results.
-WORD_MEMO = 250_000
+WORD_MEMO = 150_000
 
 # The pattern of byte-level BPE that splits text into words.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,6 +38,26 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: A run of other characters with one blank before it, or white space that no word takes. Words never cross these.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 
+# ASCII white space, and the first bytes of all other white space in UTF-8 with the bytes that follow.
+ASCII_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)])
+WIDE_SPACE = {0xC2: 1, 0xE1: 2, 0xE2: 2, 0xE3: 2}
+
+
+def chunk_edges(data: np.ndarray) -> np.ndarray:
+    """Where a blank stands alone between two characters that are no white space; words never cross these places.
+
+    Places next to a character that starts like wide white space don't count, which makes longer chunks and nothing else.
+    """
+    space = ASCII_SPACE[data]
+    before, after = space.copy(), space.copy()
+    for first, more in WIDE_SPACE.items():
+        at = np.flatnonzero(data == first)
+        after[at] = True
+        before[np.minimum(at + more, len(data) - 1)] = True
+    edge = np.zeros(len(data), bool)
+    edge[1:-1] = (data[1:-1] == 0x20) & ~before[:-2] & ~after[2:]
+    return edge
+
 
 def byte_alphabet() -> dict[str, int]:
     """Characters that stand for bytes: printable Latin-1 bytes are themselves, the rest follow from U+0100 on."""
@@ -60,15 +84,12 @@ class ByteBPE:
         for r, pair in enumerate(spec["model"]["merges"]):
             a, b = (raw(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             if a in vocab and b in vocab and a + b in vocab:
-                self.rank[vocab[a], vocab[b]] = r
+                self.rank[vocab[a] << 32 | vocab[b]] = r
                 parents.setdefault(vocab[a + b], (vocab[a], vocab[b], r))
+        self.parents = parents
         #: Spines: the tokens at the right (left) end of a token while it is built, each with the rank of the merge that uses it up.
-        self.right, self.left = {}, {}
-        for token in sorted(vocab.values(), key=lambda t: parents.get(t, (0, 0, -1))[2]):
-            a, b, r = parents.get(token, (None, None, None))
-            grown = lambda spine, last: [*spine[:-1], (spine[-1][0], last), (token, math.inf)]  # noqa: B023, E731
-            self.right[token] = [(token, math.inf)] if r is None else grown(self.right[b], r)
-            self.left[token] = [(token, math.inf)] if r is None else grown(self.left[a], r)
+        self.right: dict[int, list] = {}
+        self.left: dict[int, list] = {}
         self.joined: dict[int, bool] = {}
         self.vocab = {t: i for t, i in vocab.items() if i not in parents or self._seam(parents[i][0], parents[i][1], parents[i][2])}
         #: Lengths of the tokens that end in three given bytes, longest first.
@@ -78,14 +99,26 @@ class ByteBPE:
                 tails.setdefault(t[-3:], {1, 2}).add(len(t))
         self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
         self.split = regex.compile(WORD_PATTERN).findall
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.right, self.left = {}, {}  # most aren't needed again
+
+    def spine(self, known: dict[int, list], side: int, token: int) -> list:
+        found = known.get(token)
+        if found is None:
+            if token in self.parents:
+                below = self.spine(known, side, self.parents[token][side])
+                found = [*below[:-1], (below[-1][0], self.parents[token][2]), (token, math.inf)]
+            else:
+                found = [(token, math.inf)]
+            known[token] = found
+        return found
 
     def _seam(self, s: int, t: int, until: float = math.inf) -> bool:
         """Whether no merge of a rank under `until` spans the seam between tokens s and t while both are built from bytes."""
-        a, b, i, j = self.right[s], self.left[t], 0, 0
+        a, b, i, j = self.spine(self.right, 1, s), self.spine(self.left, 0, t), 0, 0
         while True:
             (x, used_x), (y, used_y) = a[i], b[j]
-            r = self.rank.get((x, y))
+            r = self.rank.get(x << 32 | y)
             if r is not None and r < used_x and r <= used_y and r < until:
                 return False
             if used_x == used_y == math.inf:
@@ -132,18 +165,18 @@ class ByteBPE:
             before = word
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Puts the encodings of chunks into the memo."""
+    def learn(self, chunks: list[bytes]) -> list[bytes]:
+        """The encodings of distinct chunks, which stay in the memo."""
         if len(self.memo) > WORD_MEMO:
             self.memo.clear()
         if len(self.joined) > 2 * WORD_MEMO:
             self.joined.clear()
-        new = [c for c in chunks if c not in self.memo]
-        parts = {c: [w.encode() for w in self.split(c)] for c in new}
+        parts = {c: [w.encode() for w in self.split(c.decode())] for c in chunks if c not in self.memo}
         words = sorted({w for ws in parts.values() for w in ws})
         packed = {w: b"".join(i.to_bytes(4, "little") for i in ids) for w, ids in zip(words, self.encode_words(words), strict=True)}
         for c, ws in parts.items():
             self.memo[c] = packed[ws[0]] if len(ws) == 1 else b"".join(map(packed.__getitem__, ws))
+        return [*map(self.memo.__getitem__, chunks)]
 
     def pieces(self, text: str) -> list[str]:
         """Chunks of a text; added tokens are chunks of their own."""
@@ -155,27 +188,68 @@ class ByteBPE:
             at = m.end()
         return out + CHUNK.findall(text[at:])
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t or "") for t in texts]
-        distinct = {c for cs in cut for c in cs}
-        special = {c: self.added[c].to_bytes(4, "little") for c in distinct & set(self.added)}
-        self.learn(distinct - set(special))
-        self.memo.update(special)
-        return [b"".join(map(self.memo.__getitem__, cs)) for cs in cut]
-
-
-def token_table(path: str) -> dict[int, bytes]:
-    """The bytes of each id, added tokens included; all that decoding needs."""
+    def encode_text(self, text: str) -> bytes:
+        """Ids of a text that may hold added tokens."""
+        pieces = self.pieces(text)
+        plain = sorted({p for p in pieces if p not in self.added})
+        ids = dict(zip(plain, self.learn([p.encode() for p in plain]), strict=True)) | {c: i.to_bytes(4, "little") for c, i in self.added.items()}
+        return b"".join(map(ids.__getitem__, pieces))
+
+    def encode_array(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text as little-endian unsigned 32-bit integers; nulls are empty.
+
+        Chunks are views on one buffer and only the distinct ones become Python objects; their ids are gathered by number.
+        """
+        texts = texts.fill_null("")
+        data, offsets = text_bytes(texts)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[:-1] = chunk_edges(data) if len(data) > 2 else False
+        edge[offsets] = True
+        edges = np.flatnonzero(edge).astype(np.int32)
+        views = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        ids = gathered(pa.array(self.learn(views.dictionary.to_pylist()), pa.binary()), views.indices, np.searchsorted(edges, offsets))
+        special = pc.match_substring_regex(texts, self.added_pattern.pattern) if self.added_pattern else pa.array([False] * len(texts), pa.bool_())
+        if special.true_count:
+            ids = pc.replace_with_mask(ids, special, pa.array([self.encode_text(t) for t in texts.filter(special).to_pylist()], pa.binary()))
+        return ids
+
+
+def gathered(values: pa.Array, indices: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """Binaries of several values each, those that indices[bounds[i]:bounds[i + 1]] name, one after another."""
+    if not len(indices):
+        return pa.array([b""] * (len(bounds) - 1), pa.binary())
+    taken = values.take(indices)
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends[bounds])), taken.buffers()[2]])
+
+
+@lru_cache(maxsize=1)
+def byte_bpe(path: str) -> ByteBPE:
+    """One vocabulary for each Python worker."""
+    return ByteBPE(path)
+
+
+@lru_cache(maxsize=1)
+def token_table(path: str) -> pa.Array:
+    """The bytes of each id, added tokens included, all that decoding needs; null for ids in between that stand for nothing."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     to_byte = byte_alphabet()
-    return {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    known = {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return pa.array([known.get(i) for i in range(max(known, default=-1) + 1)], pa.binary())
 
 
-def decode(table: dict[int, bytes], packed: bytes) -> str:
-    """The text of ids; invalid UTF-8 becomes U+FFFD."""
-    return b"".join(map(table.__getitem__, memoryview(packed).cast("I").tolist())).decode("utf-8", "replace")
+def decode_array(table: pa.Array, packed: pa.Array) -> pa.Array:
+    """The texts of ids; invalid UTF-8 becomes U+FFFD, null ids an empty text."""
+    packed = pa.concat_arrays([packed.fill_null(b"")])  # offsets from 0
+    bounds = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = packed.buffers()[2]
+    ids = np.frombuffer(data, "<u4")[bounds[0] // 4 : bounds[-1] // 4] if data is not None and data.size else np.zeros(0, "<u4")
+    raw = gathered(table, pa.array(ids), (bounds - bounds[0]) // 4)
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -186,23 +260,31 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(tokenizer_path)
         for batch in batches:
             for part in text_slices(batch):
-                ids = pa.array(bpe.encode_batch(part.column("text").to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), byte_bpe(tokenizer_path).encode_array(part.column("text"))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids, decoded): adds the text of ids, special tokens included; null ids decode to an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_table(tokenizer_path)
         for batch in batches:
             for part in text_slices(batch, "ids"):
-                texts = [decode(table, x or b"") for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), decode_array(token_table(tokenizer_path), part.column("ids"))], ["doc_id", "ids", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, ids binary, decoded string")
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(doc_id, ids, decoded) of every row: encode_documents() and decode_documents() in one worker, which halves the workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                ids = byte_bpe(tokenizer_path).encode_array(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, decode_array(token_table(tokenizer_path), ids)], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary, decoded string")

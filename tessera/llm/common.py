@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Rows of one long each (16 MB) up to which a set of ids is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -56,6 +60,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy_worker() -> None:
+    """Gives memory that a Python worker no longer needs back to the machine, as idle workers live on beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
+def tidied(run: ArrowMap) -> ArrowMap:
+    """A function for mapInArrow() whose worker holds nothing once a task ends."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy_worker()
+
+    return tidy
+
+
 def bounded_broadcast(ids: DataFrame, rows: int) -> DataFrame:
     """Hints a broadcast only where the counted rows keep it under a fixed size."""
     return F.broadcast(ids) if rows <= BROADCAST_IDS else ids

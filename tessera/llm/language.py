@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, tidied
 from .net import PAD, Adam, padded, text_bytes
 
 #: Documents that the network learns from at most, chosen by hash of doc_id, and characters of each.
@@ -197,4 +197,4 @@ def identify(docs: DataFrame, net: BiGRU | None) -> DataFrame:
                     names = [net.classes[k] if ok else UNKNOWN for k, ok in zip(p.argmax(1), known, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(best)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import shared_dir, text_slices
+from .common import shared_dir, text_slices, tidied
 
 #: Code points that a key must have; shorter lines are never dropped.
 LEAST = 10
@@ -46,7 +46,7 @@ def line_hashes(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["h1", "h2", "doc_id", "pos"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, doc_id long, pos int")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "h1 long, h2 long, doc_id long, pos int")
 
 
 def key_runs(batch: pa.RecordBatch, held: tuple[int, int, int] | None):
@@ -79,7 +79,7 @@ def dropped_lines(hashes: DataFrame, partitions: int) -> DataFrame:
 
     carried: dict[int, tuple[int, int, int]] = {}
     before = None
-    for r in sorted(ordered.mapInArrow(edges, "part long, f1 long, f2 long, l1 long, l2 long, owner long").collect()):
+    for r in sorted(ordered.mapInArrow(tidied(edges), "part long, f1 long, f2 long, l1 long, l2 long, owner long").collect()):
         owner = r["owner"]
         if before and before[:2] == (r["f1"], r["f2"]):
             carried[r["part"]] = before
@@ -95,7 +95,7 @@ def dropped_lines(hashes: DataFrame, partitions: int) -> DataFrame:
                 out = owner != doc
                 yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(pos[out])], ["doc_id", "pos"])
 
-    return ordered.mapInArrow(run, "doc_id long, pos int")
+    return ordered.mapInArrow(tidied(run), "doc_id long, pos int")
 
 
 def bitmap(positions: np.ndarray) -> bytes:
@@ -127,7 +127,7 @@ def drop_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(maps, pa.binary())], ["doc_id", "dropped"])
 
     # As many places as the document has lines.
-    return dropped_lines(line_hashes(known, least), partitions).groupBy("doc_id").agg(F.collect_set("pos").alias("places")).mapInArrow(pack, "doc_id long, dropped binary")
+    return dropped_lines(line_hashes(known, least), partitions).groupBy("doc_id").agg(F.collect_set("pos").alias("places")).mapInArrow(tidied(pack), "doc_id long, dropped binary")
 
 
 def keep_lines(docs: DataFrame, bitmaps: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -150,7 +150,7 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame, carry: tuple[str, ...] = ())
 
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).join(bitmaps, "doc_id", "left")
     own = StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long").add("text", "string")
-    return both.mapInArrow(run, StructType([*own.fields, *carried.fields]))
+    return both.mapInArrow(tidied(run), StructType([*own.fields, *carried.fields]))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:

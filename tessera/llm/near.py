@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, release, text_slices
+from .common import BROADCAST_IDS, cut, release, text_slices, tidied
 from .net import text_bytes
 from .shingles import fingerprint, minwise, shingle_sets
 
@@ -46,7 +46,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 mins = pa.array([minwise(s, FUNCTIONS).view(np.int32) for s in sets], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), mins], ["doc_id", "n", "f1", "f2", "mins"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, mins array<int>")
+    return docs.mapInArrow(tidied(run), "doc_id long, n long, f1 long, f2 long, mins array<int>")
 
 
 def child(node: Column | None, function: Column) -> Column:
@@ -154,7 +154,7 @@ def active(members: DataFrame, threshold: float) -> DataFrame:
                 on[i] = on[j] = True
             yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(rep[on])], ["node", "rep"])
 
-    return members.mapInArrow(run, "node long, rep long")
+    return members.mapInArrow(tidied(run), "node long, rep long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -192,7 +192,7 @@ def solve(members: DataFrame, threshold: float) -> DataFrame:
             other = head != rep[order]
             yield pa.RecordBatch.from_arrays([pa.array(head[other]), pa.array(rep[order][other])], ["a", "b"])
 
-    return members.mapInArrow(run, "a long, b long")
+    return members.mapInArrow(tidied(run), "a long, b long")
 
 
 def by_node(rows: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def shingles_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(*text_bytes(part.column("text")), words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
-    return docs.join(few(ids.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(run, "rep long, shingles binary")
+    return docs.join(few(ids.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(tidied(run), "rep long, shingles binary")
 
 
 def tree_links(docs: DataFrame, reps: DataFrame, labels: DataFrame | None, functions: list[int], words: int, threshold: float) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, tidied
 from .net import PAD, Adam, padded, text_bytes
 
 #: Labelled documents of each class that the network learns from at most, chosen by hash of doc_id.
@@ -113,4 +113,4 @@ def score_quality(docs: DataFrame, net: ByteCNN) -> DataFrame:
             for part in text_slices(batch, limit=1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(net.score(part.column("text")))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, score double")

@@ -53,10 +53,9 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import decode_documents, encode_documents
+    from .bpe import round_trip
 
-    path = tokenizer("byte_bpe_50k.json")
-    both = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    both = round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

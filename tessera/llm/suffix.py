@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, release, text_slices
+from .common import BROADCAST_IDS, cut, release, text_slices, tidied
 from .net import text_bytes
 
 #: Bytes of a string that counts as repeated.
@@ -204,7 +204,7 @@ def text_runs(docs: DataFrame, length: int) -> DataFrame:
                     text, start, n, gram, content, weight = find_runs(own, off, length)
                     yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(content), pa.array(of[text]), pa.array(start + base), pa.array(n), pa.array(weight)], ["gram", "content", "doc_id", "start", "n", "weight"])
 
-    return docs.mapInArrow(run, RUN)
+    return docs.mapInArrow(tidied(run), RUN)
 
 
 def with_text(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
@@ -300,12 +300,12 @@ def repeated_rows(docs: DataFrame, length: int) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "content", "seen", "n", "copies", "raw"])
 
-    texts = with_text(docs, wanted).mapInArrow(contexts, "gram long, content long, seen long, n long, copies long, raw binary")
+    texts = with_text(docs, wanted).mapInArrow(tidied(contexts), "gram long, content long, seen long, n long, copies long, raw binary")
     salt = F.pmod("content", F.ceil(F.col("seen") / HOT))
     dealt = texts.withColumn("hot", F.col("seen") > HOT).repartition(partitions, "gram", salt).sortWithinPartitions("gram", "content")
-    results = cut(dealt.select("gram", "content", "n", "copies", "hot", "raw").mapInArrow(lambda it: shard_results(it, length), SHARD_ROW), "shards")
+    results = cut(dealt.select("gram", "content", "n", "copies", "hot", "raw").mapInArrow(tidied(lambda it: shard_results(it, length)), SHARD_ROW), "shards")
     release(spark)
-    merged = results.where("digest is not null").repartition(partitions, "digest").sortWithinPartitions("digest").mapInArrow(merge_edges, "gram long, content long, lo long, hi long")
+    merged = results.where("digest is not null").repartition(partitions, "digest").sortWithinPartitions("digest").mapInArrow(tidied(merge_edges), "gram long, content long, lo long, hi long")
     found = results.where("digest is null").select("gram", "content", "lo", "hi").unionByName(merged)
     spans_of = F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + length).alias("b"))
     return common.join(found, ["gram", "content"]).groupBy("doc_id").agg(F.collect_set(spans_of).alias("spans"))
@@ -347,6 +347,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     out = "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"
     ids = found.select("doc_id")
     if ids.count() > BROADCAST_IDS:
-        return docs.join(found, "doc_id", "left").mapInArrow(run, out)
+        return docs.join(found, "doc_id", "left").mapInArrow(tidied(run), out)
     none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans")
-    return docs.join(F.broadcast(ids), "doc_id", "left_anti").select("doc_id", "text", none).mapInArrow(run, out).unionByName(with_text(docs, found).mapInArrow(run, out))
+    return docs.join(F.broadcast(ids), "doc_id", "left_anti").select("doc_id", "text", none).mapInArrow(tidied(run), out).unionByName(with_text(docs, found).mapInArrow(tidied(run), out))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path, text_slices
+from .common import cut, shared_path, text_slices, tidied
 
 #: Ids in a block, which a reader holds at a time; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
@@ -162,7 +162,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 ids = encode_slice(part.column("text").fill_null(""), encoder, end)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary")
 
 
 def id_counts(encoded: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def id_counts(encoded: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(spark: SparkSession, encoded: DataFrame, folder: str) -> list[tuple[str, int, int]]:
@@ -256,10 +256,10 @@ def write_token_files(spark: SparkSession, encoded: DataFrame, folder: str) -> l
     cuts = encoded.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files) if files > 1 else []
     bounds = np.unique(np.array(cuts, np.int64))
     done = (
-        encoded.mapInArrow(packed, "bucket int, doc_id long, n long, control binary, data binary")
+        encoded.mapInArrow(tidied(packed), "bucket int, doc_id long, n long, control binary, data binary")
         .repartition(files, "bucket")
         .sortWithinPartitions("bucket", "doc_id")
-        .mapInArrow(write, "k long, file string, docs long, ids long")
+        .mapInArrow(tidied(write), "k long, file string, docs long, ids long")
         .collect()
     )
     return [(r["file"], r["docs"], r["ids"]) for r in sorted(done, key=lambda r: r["k"])]
@@ -291,7 +291,7 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple[str, in
                         at += int(counts.sum())
 
     listed = spark.createDataFrame(rows or [], "file string, start long")
-    return listed.repartition(max(1, len(rows))).mapInArrow(run, "doc_id long, start long, ids binary")
+    return listed.repartition(max(1, len(rows))).mapInArrow(tidied(run), "doc_id long, start long, ids binary")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> DataFrame:

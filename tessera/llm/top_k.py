@@ -118,6 +118,6 @@ def top_k(embeddings: DataFrame, is_query, k: int, scale: float = 64.0) -> DataF
                         ["query_id", "vec_id", "score"],
                     )
 
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    best = pairs.mapInArrow(tidied(run), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -144,10 +144,31 @@ def test_top_k(spark):
 def test_bpe(docs, texts):
     path = queries.tokenizer("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    for r in bpe.decode_documents(bpe.encode_documents(docs, path), path).collect():
+    two = {r.doc_id: r for r in bpe.decode_documents(bpe.encode_documents(docs, path), path).collect()}
+    for r in bpe.round_trip(docs.union(docs.where("doc_id < 20")), path).collect():
         ids = library.encode(dict(texts)[r.doc_id] or "", add_special_tokens=False).ids
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
+        assert r == two[r.doc_id]
+
+
+WHITE = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff"]
+
+
+def test_bpe_chunks():
+    """Any white space beside any character, in texts that lie one after another in one batch."""
+    path, rng = queries.tokenizer("byte_bpe_50k.json"), random.Random(5)
+    library, own = Tokenizer.from_file(path), bpe.byte_bpe(path)
+    words = ["a", "é", "là", "Ä", "ß", "日本", "語", "ぁ", "don't", "12", "...", "<|endoftext|>", "\U0001f600", "\u2019s", "\xab", "Â", "ა", "ⴀ"]
+    texts = ["".join(rng.choice(WHITE if rng.random() < 0.55 else words) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + ["", None, " ", "x" * 100_000]
+    ids = own.encode_array(pa.array(texts))
+    for part in (slice(0, None), slice(7, 9), slice(0, 0)):
+        assert own.encode_array(pa.array(texts).slice(part.start, None if part.stop is None else part.stop - part.start)).to_pylist() == ids.to_pylist()[part]
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == wanted
+    assert bpe.decode_array(bpe.token_table(path), ids).to_pylist() == [library.decode(w, skip_special_tokens=False) for w in wanted]
+    loose = pa.array([np.array([0, 1, 223, 94, 50256], "<u4").tobytes(), None, b"", np.arange(130, 250, dtype="<u4").tobytes()])
+    assert bpe.decode_array(bpe.token_table(path), loose).to_pylist() == [library.decode(np.frombuffer(x or b"", "<u4").tolist(), skip_special_tokens=False) for x in loose.to_pylist()]
 
 
 def test_decontaminate(spark, texts):
