@@ -50,8 +50,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the texts that remain."""
-    path = tokenizer("byte_bpe_50k.json")
-    both = bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    both = bpe.round_trip(docs, tokenizer("byte_bpe_50k.json"))
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
