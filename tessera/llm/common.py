@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,17 +16,23 @@ from pyspark.sql import functions as F
 
 ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-#: Rows of one long each (16 MB) up to which a set of ids is broadcast; beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Rows of one or two numbers each up to which a set of ids is broadcast; beyond it the join shuffles. Spark holds some 32
+#: bytes for each (id, row pointer and half-empty table), 32 MB together.
+BROADCAST_IDS = 1_000_000
+
+#: Rows of a key beyond which its rows aren't brought together in one task.
+HOT_ROWS = 20_000
 
 #: Text bytes that a Python operator works on at a time, whatever the size of the Arrow batch.
 SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset."""
+    """The folder that all executors share: `spark.checkpoint.dir`. Where it is unset, a local session gets a temporary one; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -82,9 +89,24 @@ def tidied(run: ArrowMap) -> ArrowMap:
     return tidy
 
 
-def bounded_broadcast(ids: DataFrame, rows: int) -> DataFrame:
-    """Hints a broadcast only where the counted rows keep it under a fixed size."""
-    return F.broadcast(ids) if rows <= BROADCAST_IDS else ids
+def few(df: DataFrame) -> DataFrame:
+    """A set of ids or nodes, broadcast if its count is bounded."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins rows to a table with one row a key at most, whatever share of the rows a key has.
+
+    Keys of more than HOT_ROWS rows can't be many; their side of `one` is broadcast while its count is bounded, so that
+    their rows stay where they are. The other keys meet in a shuffle.
+    """
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS).select(*keys)
+    hot = cut(hot.na.drop(), "hot-keys")
+    if not hot.take(1):
+        return rows.join(one, keys, how)
+    hot = few(hot)
+    cold = rows.join(hot, keys, "left_anti").join(one, keys, how)
+    return cold.unionByName(rows.join(hot, keys, "left_semi").join(few(cut(one.join(hot, keys, "left_semi"), "hot")), keys, how))
 
 
 def slices(sizes, limit: int = SLICE_BYTES):
