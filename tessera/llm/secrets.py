@@ -15,6 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, few
+
+#: Matches of a text that are added up at a time.
+PART = 256
+
 #: Strings that one part of a regex may stand for before it counts as open.
 MOST_STRINGS = 24
 
@@ -108,31 +113,46 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
 
 
 def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
-    """Structs (start, kind, end) of a rule's matches: text between matches and the matches add up to the positions."""
+    """Structs (start, kind, end) of a rule's matches: text between matches and the matches add up to the positions.
+
+    Matches are added up in parts of PART and then part by part, so that appending to an array doesn't copy all matches each time.
+    """
     pattern = F.lit(rule.pattern)
     whole, kept = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
     steps = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("hit"), kept.alias("part"))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>").alias("spans"))
+    one = "struct<start:bigint,kind:int,end:bigint>"
+    start_of = lambda kind: F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(F.coalesce(x["hit"], F.lit("")))
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+        found = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["spans"], found)).otherwise(acc["spans"]).alias("spans"))
+
+    def move(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["spans"], F.array(moved)).alias("spans"))
+
+    def parts(all_steps: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.call_function("div", F.size(all_steps) - 1, F.lit(PART)).cast("int"))
+        return F.transform(numbers, lambda k: F.aggregate(F.slice(all_steps, k * PART + 1, F.lit(PART)), start_of(one), step))
 
-    return F.aggregate(steps, empty, step, lambda acc: acc["spans"])
+    # A lambda's own variable is worked out once; an expression from outside would be for each element.
+    return F.get(F.transform(F.array(steps), lambda s: F.aggregate(parts(s), start_of(f"array<{one}>"), move, lambda acc: F.flatten(acc["spans"]))), F.lit(0))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """(doc_id, spans): structs (start, kind, end) of all rules, by start and then by the rule's place; code points, end exclusive.
 
     A null or empty text has no spans. Rows with a null doc_id can't be in a posting list and are verified directly;
-    rows with one doc_id share their candidate bits and are verified each. Other columns are left out.
+    rows with one doc_id share their candidate bits and are verified each; an empty table gives no rows. Other columns are
+    left out. Candidates' ids are broadcast if their count is bounded, so that texts aren't shuffled; rules without
+    mandatory trigrams need no join at all.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     everywhere = sum(1 << k for k, r in enumerate(rules) if not trigram_query(r.pattern))
     found = candidates(docs, rules)
-    joined = docs.withColumn("rules", F.lit(0)) if found is None else docs.join(found, "doc_id", "left")
+    joined = docs.withColumn("rules", F.lit(0)) if found is None else docs.join(few(cut(found, "candidates")), "doc_id", "left")
     bits = F.when(F.col("doc_id").isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("rules", F.lit(0)).bitwiseOR(F.lit(everywhere)))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     spans = [F.when((F.col("bits").bitwiseAND(F.lit(1 << k)) != 0) & F.regexp_like("text", F.lit(r.pattern)), rule_spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
