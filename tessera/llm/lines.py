@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import shared_dir, text_slices, tidied
+from .common import cut, shared_dir, text_slices, tidied
 
 #: Code points that a key must have; shorter lines are never dropped.
 LEAST = 10
@@ -64,8 +64,9 @@ def key_runs(batch: pa.RecordBatch, held: tuple[int, int, int] | None):
 def dropped_lines(hashes: DataFrame, partitions: int) -> DataFrame:
     """(doc_id, pos) of lines whose key a document of smaller doc_id holds."""
     order = ("h1", "h2", "doc_id", "pos")
-    # A checkpoint keeps partitions and their order as they are, so both passes see the same ranges.
-    ordered = hashes.repartitionByRange(partitions, *order).sortWithinPartitions(*order).checkpoint()
+    # Ranges come from a sample of the rows, so these are written first and not worked out twice. A checkpoint keeps
+    # partitions and their order as they are, so both passes see the same ranges.
+    ordered = cut(hashes, "line-hashes").repartitionByRange(partitions, *order).sortWithinPartitions(*order).checkpoint()
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = held = None
