@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, release, text_slices, tidied
+from .common import BROADCAST_IDS, cut, join_one, release, text_slices, tidied
 from .net import text_bytes
 
 #: Bytes of a string that counts as repeated.
@@ -99,8 +99,11 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return four[:n] << 27 | two[4 : 4 + n] << 9 | one[6 : 6 + n]
 
 
-def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of `codes` (0 to 256) sorted by their first `depth` codes at least, by Larsson-Sadakane refinement."""
+def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(order, again, h): suffixes of `codes` (0 to 256) sorted by their first h codes, `depth` or more, by Larsson-Sadakane refinement.
+
+    `again` tells for each place of the order whether those h codes are the same as at the place before.
+    """
     n = len(codes)
     key = packed(codes)
     order = np.argsort(key)
@@ -117,7 +120,8 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         single = new & np.append(new[1:], True)
         active = active[~single]
         if h >= depth or not len(active):
-            return order
+            ranks = rank[order]
+            return order, np.append(False, ranks[1:] == ranks[:-1]), h
         suffix = order[active]
         key = rank[suffix] << 32 | (rank[np.minimum(suffix + h, n)] + 1)
         by = np.argsort(key)
@@ -127,20 +131,24 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         h *= 2
 
 
-def common_prefixes(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Common prefixes of each suffix in `order` with the one before it.
+def common_prefixes(codes: np.ndarray, order: np.ndarray, again: np.ndarray, h: int) -> np.ndarray:
+    """Common prefixes of each suffix in `order` with the one before it, counted up to h codes.
 
     Kasai: if the suffixes at i and j are neighbours and so are those at i-1 and j-1, which start alike, the prefix is one
-    shorter than theirs. Only the others are compared, eight codes at a time.
+    shorter than theirs. Neighbours that refinement left together share h codes, so only the others are compared, seven
+    codes at a time, and these differ within h codes however long the text repeats itself.
     """
     n = len(codes)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    whole = np.zeros(n, bool)
+    whole[order] = again
     i = np.arange(n)
     heads = np.ones(n, bool)
     heads[1:] = (before[1:] < 1) | (before[:-1] != before[1:] - 1) | (codes[:-1] != codes[np.maximum(before[1:], 1) - 1])
-    at = np.flatnonzero(heads & (before >= 0))
-    found = np.zeros(n, np.int64)
+    found = np.where(whole, h, 0)
+    at = np.flatnonzero(heads & ~whole & (before >= 0))
+    heads |= whole
     pack = np.append(packed(codes), 0)
     a, b, whose = at.copy(), before[at], at
     while len(a):
@@ -169,9 +177,9 @@ def repeated_strings(contexts: list[bytes], strings: np.ndarray, length: int) ->
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     data = np.frombuffer(b"".join(contexts), np.uint8)
     codes[np.arange(len(data)) + np.repeat(np.arange(len(contexts)), sizes)] = data.astype(np.int16) + 1
-    order = suffix_order(codes, length)
+    order, again, h = suffix_order(codes, length)
     group_of = np.empty(len(codes), np.int64)
-    group_of[order] = np.cumsum(common_prefixes(codes, order) < length)
+    group_of[order] = np.cumsum(common_prefixes(codes, order, again, h) < length)
     of = np.repeat(np.arange(len(contexts)), strings)
     return of, group_of[starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)]
 
@@ -185,7 +193,7 @@ def spans(flags: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return on[np.append(0, gap + 1)], on[np.append(gap, len(on) - 1)]
 
 
-RUN = "gram long, content long, doc_id long, start long, n long, weight long"
+RUN = "gram long, content long, doc_id long, copy long, start long, n long, weight long"
 
 
 def text_runs(docs: DataFrame, length: int) -> DataFrame:
@@ -195,31 +203,31 @@ def text_runs(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, limit=PIECE):
                 data, offsets = text_bytes(part.column("text"))
-                ids = part.column("doc_id").to_numpy()
-                pieces = [(data, offsets, ids, 0)]
+                ids, copies = (part.column(c).to_numpy() for c in ("doc_id", "copy"))
+                pieces = [(data, offsets, 0)]
                 if part.num_rows == 1 and len(data) > PIECE:
                     cuts = [(a, min(a + PIECE + length - 1, len(data))) for a in range(0, len(data) - length + 1, PIECE)]
-                    pieces = [(data[a:b], np.array([0, b - a]), ids, a) for a, b in cuts]
-                for own, off, of, base in pieces:
+                    pieces = [(data[a:b], np.array([0, b - a]), a) for a, b in cuts]
+                for own, off, base in pieces:
                     text, start, n, gram, content, weight = find_runs(own, off, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(content), pa.array(of[text]), pa.array(start + base), pa.array(n), pa.array(weight)], ["gram", "content", "doc_id", "start", "n", "weight"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(content), pa.array(ids[text]), pa.array(copies[text]), pa.array(start + base), pa.array(n), pa.array(weight)], ["gram", "content", "doc_id", "copy", "start", "n", "weight"])
 
     return docs.mapInArrow(tidied(run), RUN)
 
 
 def with_text(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
     """Joins texts to one row a document; where the ids are few enough, other texts are left out before the shuffle."""
-    ids = by_doc.select("doc_id")
+    ids = by_doc.select("doc_id").distinct()
     if ids.count() <= BROADCAST_IDS:
         docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return docs.join(by_doc, "doc_id")
+    return docs.join(by_doc, ["doc_id", "copy"])
 
 
 SHARD_NAMES = ["gram", "content", "lo", "hi", "digest"]
 SHARD_ROW = "gram long, content long, lo long, hi long, digest binary"
 
 
-def shard_results(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def shard_results(batches: Iterator[pa.RecordBatch], length: int, limit: int = SHARD) -> Iterator[pa.RecordBatch]:
     """Works through runs sorted by gram: rows of repeated strings, and digests of the strings of grams that are cut across shards."""
     held: list[tuple] = []
     size = 0
@@ -245,7 +253,7 @@ def shard_results(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     was_cut: set[int] = set()
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "content", "n", "copies", "hot", "raw")), strict=True):
-            if size > SHARD and (row[0] != held[-1][0] or size > 2 * SHARD):
+            if size > limit and (row[0] != held[-1][0] or size > 2 * limit):
                 cut_now = {row[0]} if row[0] == held[-1][0] else set()
                 yield from flush(was_cut | cut_now)
                 held, size, was_cut = [], 0, cut_now
@@ -277,18 +285,18 @@ def merge_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, spans): [from, to) byte ranges covered by repeated strings, for documents that have any; ranges may overlap."""
+    """(doc_id, copy, spans): [from, to) byte ranges covered by repeated strings, for documents that have any; ranges may overlap."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = cut(text_runs(docs, length), "runs")
     often = runs.groupBy("gram").agg(F.sum("weight").alias("seen")).where("seen > 1")
-    common = cut(runs.drop("weight").join(often, "gram"), "common-runs")
+    common = cut(join_one(runs.drop("weight"), often, ["gram"]), "common-runs")
     release(spark)
-    one = F.struct("doc_id", "start", "n")
+    one = F.struct("doc_id", "copy", "start", "n")
     classes = common.groupBy("gram", "content").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.max("seen").alias("seen"))
-    copies = F.when(F.col("a") == F.col("b"), 1).otherwise(2)  # rows of one doc_id are one document
-    reps = classes.select(F.col("a.doc_id").alias("doc_id"), F.struct("gram", "content", "seen", F.col("a.start").alias("start"), F.col("a.n").alias("n"), copies.alias("copies")).alias("run"))
-    wanted = cut(reps.groupBy("doc_id").agg(F.collect_list("run").alias("runs")), "wanted-runs")
+    copies = F.when(F.col("a") == F.col("b"), 1).otherwise(2)  # equal rows are one document
+    reps = classes.select("a.doc_id", "a.copy", F.struct("gram", "content", "seen", F.col("a.start").alias("start"), F.col("a.n").alias("n"), copies.alias("copies")).alias("run"))
+    wanted = cut(reps.groupBy("doc_id", "copy").agg(F.collect_list("run").alias("runs")), "wanted-runs")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,12 +311,15 @@ def repeated_rows(docs: DataFrame, length: int) -> DataFrame:
     texts = with_text(docs, wanted).mapInArrow(tidied(contexts), "gram long, content long, seen long, n long, copies long, raw binary")
     salt = F.pmod("content", F.ceil(F.col("seen") / HOT))
     dealt = texts.withColumn("hot", F.col("seen") > HOT).repartition(partitions, "gram", salt).sortWithinPartitions("gram", "content")
-    results = cut(dealt.select("gram", "content", "n", "copies", "hot", "raw").mapInArrow(tidied(lambda it: shard_results(it, length)), SHARD_ROW), "shards")
+    limit = SHARD
+    results = cut(dealt.select("gram", "content", "n", "copies", "hot", "raw").mapInArrow(tidied(lambda it: shard_results(it, length, limit)), SHARD_ROW), "shards")
     release(spark)
     merged = results.where("digest is not null").repartition(partitions, "digest").sortWithinPartitions("digest").mapInArrow(tidied(merge_edges), "gram long, content long, lo long, hi long")
     found = results.where("digest is null").select("gram", "content", "lo", "hi").unionByName(merged)
     spans_of = F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + length).alias("b"))
-    return common.join(found, ["gram", "content"]).groupBy("doc_id").agg(F.collect_set(spans_of).alias("spans"))
+    by_class = found.groupBy("gram", "content").agg(F.collect_set(F.struct("lo", "hi")).alias("own"))  # as many as a run has strings
+    covered = join_one(common.select("gram", "content", "doc_id", "copy", "start"), by_class, ["gram", "content"]).select("doc_id", "copy", "start", F.explode("own").alias("x")).select("doc_id", "copy", "start", "x.*")
+    return covered.groupBy("doc_id", "copy").agg(F.collect_set(spans_of).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -316,10 +327,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A string of `length` (64 or more) bytes is repeated if it starts anywhere else too, overlaps and the same document included; `spans`
     are the maximal ranges removed. A null text is empty; texts shorter than `length` stay as they are. Rows with one doc_id
-    must be copies of each other: they count as one document, and each is returned. Rows with a null doc_id
-    stay as they are and are not compared. An empty table gives no rows; other columns are left out.
+    and one text count as one document, and each is returned; with different texts they are documents of their own. Rows
+    with a null doc_id stay as they are and are not compared. An empty table gives no rows; other columns are left out.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
     found = cut(repeated_rows(docs.where(F.col("doc_id").isNotNull()), length), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,8 +356,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     out = "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    ids = found.select("doc_id")
+    ids = found.select("doc_id", "copy")
     if ids.count() > BROADCAST_IDS:
-        return docs.join(found, "doc_id", "left").mapInArrow(tidied(run), out)
+        return docs.join(found, ["doc_id", "copy"], "left").mapInArrow(tidied(run), out)
     none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans")
-    return docs.join(F.broadcast(ids), "doc_id", "left_anti").select("doc_id", "text", none).mapInArrow(tidied(run), out).unionByName(with_text(docs, found).mapInArrow(tidied(run), out))
+    return docs.join(F.broadcast(ids), ["doc_id", "copy"], "left_anti").select("doc_id", "text", none).mapInArrow(tidied(run), out).unionByName(with_text(docs, found).mapInArrow(tidied(run), out))
