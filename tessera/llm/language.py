@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import text_slices, tidied
 from .net import PAD, Adam, padded, text_bytes
 
-#: Documents that the network learns from at most, chosen by hash of doc_id, and characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 1024
+#: Documents that the network learns from at most, chosen by hash of doc_id.
+TRAIN_DOCS = 1500
+#: Stretches drawn from anywhere in the whole text of each, and their characters; training needs no more than these many.
+DRAWS, DRAW_CHARS = 24, 64
 HIDDEN, STRETCH, ROWS = 8, 192, 2048
 STEPS, TRAIN_STRETCH, TRAIN_ROWS, RATE = 160, 48, 192, 0.03
 #: Stands for a text without letters.
@@ -145,32 +147,31 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> BiGRU | None:
     return net
 
 
-def training_rows(docs: DataFrame, learn: Column, limit: int, chars: int) -> list:
-    """The `limit` rows with a text and a language for which `learn` holds that come first by the hash of their doc_id.
+def training_rows(docs: DataFrame, learn: Column, limit: int) -> list:
+    """(h, stretches, lang) of the `limit` rows with a text and a language for which `learn` holds that come first by the hash of their doc_id.
 
-    Tasks would each send `limit` rows to the driver; so a hash below which about twice as many rows fall in the whole
-    table goes first, and is raised where fewer are found.
+    Stretches are drawn over the whole text, so every part of it can be learned from and a very long text costs the driver
+    no more than others. Tasks would each send `limit` rows to the driver; so a hash below which about twice as many rows
+    fall in the whole table goes first, and is raised where fewer are found.
     """
     by = F.xxhash64("doc_id")
-    start = F.pmod(by, F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    known = docs.where(learn & F.col("lang").isNotNull())
+    places = F.greatest(F.length("text") - DRAW_CHARS + 1, F.lit(1))
+    start = lambda k: F.pmod(F.xxhash64("doc_id", k), places).cast("int") + 1
+    draws = F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), lambda k: F.col("text").substr(start(k), F.lit(DRAW_CHARS)))
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = 2 * limit / max(1, known.count())
     while True:
         below = known if share >= 1 else known.where(by < int((share - 0.5) * 2**64))
-        rows = (
-            below.where(F.col("text").isNotNull())
-            .select(by.alias("h"), F.col("text").substr(start, F.lit(chars)).alias("text"), F.col("lang").cast("string").alias("lang"))
-            .orderBy("h", "lang", "text").limit(limit).collect()
-        )
+        rows = below.select(by.alias("h"), draws.alias("stretches"), F.col("lang").cast("string").alias("lang")).orderBy("h", "lang", "stretches").limit(limit).collect()
         if share >= 1 or len(rows) == limit:
             return rows
         share *= 4
 
 
-def train_on(docs: DataFrame, learn: Column, limit: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> BiGRU | None:
+def train_on(docs: DataFrame, learn: Column, limit: int = TRAIN_DOCS) -> BiGRU | None:
     """Fits a network to at most `limit` rows with a text and a language for which `learn` holds."""
-    rows = training_rows(docs, learn, limit, chars)
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = training_rows(docs, learn, limit)
+    return train([x for r in rows for x in r["stretches"]], [r["lang"] for r in rows for _ in r["stretches"]])
 
 
 def identify(docs: DataFrame, net: BiGRU | None) -> DataFrame:
