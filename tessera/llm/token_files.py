@@ -1,10 +1,12 @@
 """Operator 10: token ids in files, frequency-ranked, byte-aligned and of variable length, with separate control bytes.
 
-Format of a file `part-NNNNN.tkv`: blocks one after another, each with a header of four little-endian unsigned 64-bit
+Format of a file `part-NNNNN-*.tkv`: blocks one after another, each with a header of four little-endian unsigned 64-bit
 integers (documents, ids, control bytes, data bytes), then doc_ids (int64), ids per document (uint32), control bytes and
 data bytes. An id is written as its frequency rank in 1 to 4 bytes; a control byte holds the lengths of four ids, two bits
 each; every document starts a control byte. `ranks.bin` maps ranks to ids (uint32). Decoding looks lengths up in a
-256 x 4 table and gathers the data bytes with numpy.
+256 x 4 table and gathers the data bytes with numpy. Documents without a doc_id stand in `part-none-*.tkv`, where doc_ids
+are 0 and mean nothing. The files that count are those listed by the writer: a task that is run again writes under another
+name, and what it wrote before is deleted.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +29,10 @@ from .common import cut, shared_path, text_slices, tidied
 BLOCK_IDS = 1 << 20
 
 #: Ids in a file, about.
-FILE_IDS = 1 << 24
+FILE_IDS = 1 << 26
+
+#: Buckets for documents without a doc_id, which may be any share of all.
+NONE = 16
 
 #: Text bytes whose distinct chunks are encoded together; a longer text is taken alone.
 ENCODE_BYTES = 16 << 20
@@ -75,6 +81,12 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def file_selector(root: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(root)
+
+
 class ChunkEncoder:
     """Encodes distinct chunks of text between blanks, in columns.
 
@@ -185,9 +197,9 @@ def id_counts(encoded: DataFrame) -> DataFrame:
 def write_token_files(spark: SparkSession, encoded: DataFrame, folder: str) -> list[tuple[str, int, int]]:
     """Writes (doc_id, ids) in ascending doc_id order; returns (file, documents, ids) of each file, in order.
 
-    Only counts by id (as many as the vocabulary has) and one row for each file come to the driver. A file is written
-    under a name of its own and then renamed, so that a repeated task replaces it whole. Documents of one doc_id stand
-    together in one file; null doc_ids come first and are written as -1.
+    Only counts by id (as many as the vocabulary has) and one row for each file come to the driver. Each attempt of a task
+    writes files of its own, and only those of tasks that ended well are listed; nothing is renamed, so that any file system
+    will do. Documents of one doc_id stand together, many of them in several files; those without one come first, in files of their own.
     """
     counted = sorted(((r["n"], r["id"]) for r in id_counts(encoded).collect()), key=lambda x: (-x[0], x[1]))
     ids_by_rank = np.array([i for _, i in counted], "<u4")
@@ -204,8 +216,12 @@ def write_token_files(spark: SparkSession, encoded: DataFrame, folder: str) -> l
             for part in text_slices(batch, "ids"):
                 raw = [np.frombuffer(x or b"", "<u4") for x in part.column("ids").to_pylist()]
                 both = [pack(rank_of[x]) for x in raw]
-                doc = part.column("doc_id").fill_null(-1)
-                bucket = np.searchsorted(bounds, doc.to_numpy(), "right")
+                doc = part.column("doc_id").fill_null(0)
+                # Buckets of documents without an id come first; they have no order, so that each task fills one of its own.
+                # A doc_id that many rows share is a bound more than once; its rows are dealt to all buckets between.
+                first, last = (np.searchsorted(bounds, doc.to_numpy(), side) for side in ("left", "right"))
+                own = NONE + first + np.where(last > first, 1 + np.arange(len(first)) % np.maximum(1, last - first), 0)
+                bucket = np.where(part.column("doc_id").is_null().to_numpy(zero_copy_only=False), TaskContext.get().partitionId() % NONE, own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket, pa.int32()), doc, pa.array([len(x) for x in raw], pa.int64()), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())],
                     ["bucket", "doc_id", "n", "control", "data"],
@@ -228,9 +244,7 @@ def write_token_files(spark: SparkSession, encoded: DataFrame, folder: str) -> l
         def close() -> pa.RecordBatch:
             flush()
             out.close()
-            name = f"part-{bucket:05d}.tkv"
-            fs.move(own, f"{root}/{name}")
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([n_ids], pa.int64())], ["k", "file", "docs", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([own]), pa.array([docs], pa.int64()), pa.array([n_ids], pa.int64())], ["k", "file", "docs", "ids"])
 
         for batch in batches:
             buckets = batch.column("bucket").to_numpy()
@@ -238,8 +252,8 @@ def write_token_files(spark: SparkSession, encoded: DataFrame, folder: str) -> l
                 if b != bucket:
                     if out is not None:
                         yield close()
-                    bucket, own, docs, n_ids, waiting = b, f"{root}/.{b:05d}-{uuid.uuid4().hex}", 0, 0, 0
-                    out = fs.open_output_stream(own)
+                    bucket, own, docs, n_ids, waiting = b, f"part-{'none' if b < NONE else f'{b - NONE:05d}'}-{uuid.uuid4().hex}.tkv", 0, 0, 0
+                    out = fs.open_output_stream(f"{root}/{own}")
                 first, end = np.searchsorted(buckets, [b, b + 1])
                 for part in text_slices(batch.slice(first, end - first), "data"):
                     n = sum(part.column("n").to_pylist())
@@ -253,15 +267,19 @@ def write_token_files(spark: SparkSession, encoded: DataFrame, folder: str) -> l
 
     # Buckets are ranges of doc_id with about as many documents each; a bucket is a file.
     files = max(1, -(-total // FILE_IDS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = encoded.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files) if files > 1 else []
-    bounds = np.unique(np.array(cuts, np.int64))
+    cuts = encoded.where("doc_id is not null").approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files) if files > 1 else []
+    bounds = np.sort(np.array(cuts, np.int64))
     done = (
         encoded.mapInArrow(tidied(packed), "bucket int, doc_id long, n long, control binary, data binary")
-        .repartition(files, "bucket")
+        .repartitionById(NONE + len(bounds) + 1, "bucket")  # a task for each bucket
         .sortWithinPartitions("bucket", "doc_id")
         .mapInArrow(tidied(write), "k long, file string, docs long, ids long")
         .collect()
     )
+    listed = {r["file"] for r in done}
+    for f in fs.get_file_info(file_selector(root)):
+        if f.base_name.endswith(".tkv") and f.base_name not in listed:
+            fs.delete_file(f.path)
     return [(r["file"], r["docs"], r["ids"]) for r in sorted(done, key=lambda r: r["k"])]
 
 
@@ -287,7 +305,8 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple[str, in
                         ids = ids_by_rank[unpack(control, np.frombuffer(f.read(n_data), np.uint8), counts)] if counts.sum() else np.zeros(0, "<u4")
                         ends = np.cumsum(counts)
                         raw = pa.array([ids[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(at + ends - counts), raw], ["doc_id", "start", "ids"])
+                        own = pa.nulls(docs, pa.int64()) if name.startswith("part-none-") else pa.array(doc_ids)
+                        yield pa.RecordBatch.from_arrays([own, pa.array(at + ends - counts), raw], ["doc_id", "start", "ids"])
                         at += int(counts.sum())
 
     listed = spark.createDataFrame(rows or [], "file string, start long")
@@ -298,7 +317,8 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str |
     """Encodes whole texts, writes them as token files and reads these back: (doc_id, start, ids).
 
     The ids are cut into a table in the shared folder once, so that counting and writing don't encode again. An empty
-    table gives no rows; null texts have the end id alone; rows with one doc_id stay separate; other columns are left out.
+    table gives no rows; null texts have the end id alone; rows with one doc_id stay separate and stand together in any order;
+    rows without a doc_id come first and are returned without one; other columns are left out.
     """
     spark = docs.sparkSession
     encoded = cut(encode_ids(docs, tokenizer_path, end_id), "ids")
