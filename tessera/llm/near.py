@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, release, text_slices, tidied
+from .common import cut, few, join_one, release, text_slices, tidied
 from .net import text_bytes
 from .shingles import fingerprint, minwise, shingle_sets
 
@@ -29,6 +29,8 @@ FUNCTIONS = 64
 TREES, SECOND = 12, 3
 #: Documents of a node that are compared exhaustively, and levels of branching before a larger node is compared in blocks.
 LEAF, DEPTH = 2048, 5
+#: Documents of a block; nodes of more are compared in pairs of blocks, so that no task gets a whole large node.
+BLOCK = 512
 #: Standard deviations below the threshold at which a sketch rules a pair out.
 MARGIN = 4.5
 #: Sizes up to which pairs of many nodes are compared together.
@@ -55,9 +57,12 @@ def child(node: Column | None, function: Column) -> Column:
     return F.xxhash64(function, token) if node is None else F.xxhash64(node, function, token)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """A set of nodes or ids, broadcast if its count is bounded."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(node, rep): large nodes, with their `size`, as one node for each pair of blocks, in which all their pairs meet."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.xxhash64("node", F.least(b, F.col("own")), F.greatest(b, F.col("own"))))
+    return dealt.select(F.explode(pairs).alias("node"), "rep")
 
 
 def leaves(reps: DataFrame, functions: list[int]) -> DataFrame:
@@ -66,16 +71,15 @@ def leaves(reps: DataFrame, functions: list[int]) -> DataFrame:
     found = []
     for level in range(DEPTH + 1):
         sizes = cut(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
-        small, large = sizes.where(F.col("size") <= LEAF).select("node"), sizes.where(F.col("size") > LEAF)
-        found.append(rows.join(small, "node", "left_semi"))
+        small, medium, large = sizes.where(F.col("size") <= BLOCK), sizes.where((F.col("size") > BLOCK) & (F.col("size") <= LEAF)), sizes.where(F.col("size") > LEAF)
+        found.append(rows.join(small.select("node"), "node", "left_semi"))
+        if medium.take(1):
+            found.append(in_blocks(rows.join(few(medium), "node")))
         if not large.take(1):
             break
         rest = rows.join(few(large), "node")
-        if level == DEPTH:  # what branching didn't split: all pairs of blocks
-            blocks = F.ceil(F.col("size") / (LEAF // 2)).cast("int")
-            own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-            pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.xxhash64("node", F.least(b, F.col("own")), F.greatest(b, F.col("own"))))
-            found.append(rest.withColumn("own", own).select(F.explode(pairs).alias("node"), "rep"))
+        if level == DEPTH:  # what branching didn't split
+            found.append(in_blocks(rest))
             break
         pick = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(FUNCTIONS)).cast("int")
         second = F.when(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(4)) == 0, child(F.col("node"), pick(2)))
@@ -230,13 +234,14 @@ def roots(links: DataFrame) -> DataFrame:
     label = cut(links.select(F.col("b").alias("rep"), F.col("a").alias("label")).union(links.select("a", "a")).groupBy("rep").agg(F.min("label").alias("label")), "labels")
     while True:
         at = label.withColumnRenamed("rep", "a").withColumnRenamed("label", "la")
-        sides = links.join(at, "a").join(label.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
+        sides = join_one(links, at, ["a"]).join(label.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
         low = F.least("la", "lb")
         # A smaller label goes to both ends, and to the document that was their label.
         told = sides.where("la <> lb").select(F.explode(F.array("a", "b", "la", "lb")).alias("rep"), low.alias("label"))
         better = label.union(told).groupBy("rep").agg(F.min("label").alias("label"))
+        better = cut(better, "better")
         up = better.select(F.col("rep").alias("label"), F.col("label").alias("top"))
-        new = cut(better.join(up, "label", "left").select("rep", F.coalesce("top", "label").alias("label")), "labels")
+        new = cut(join_one(better, up, ["label"], "left").select("rep", F.coalesce("top", "label").alias("label")), "labels")
         moved = new.join(label.withColumnRenamed("label", "was"), "rep").where("label <> was").take(1)
         label = new
         if not moved:
@@ -249,8 +254,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     Words are runs of other bytes than ASCII white space, A-Z count as a-z; a text of fewer than `words` words is one shingle,
     one without words (null, empty or blank) has none and is linked with nothing. component_id is the smallest doc_id that
     links reach. Rows with one doc_id count as one document if their sets are equal, else as documents that share a name: they
-    share a component. Rows with a null doc_id come out with a null component and are kept. An empty table gives no rows;
-    other columns are left out.
+    share a component. Rows with a null doc_id are linked with nothing, come out with a null component and are kept. An
+    empty table gives no rows; other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("doc_id").isNotNull())
@@ -267,6 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     links = links.union(tree_links(known, reps, labels, sum(functions[1:], []), words, threshold))
     component = roots(cut(links.distinct(), "links"))
     of_set = classes.select(*sets, "rep").join(component, "rep", "left").select(*sets, F.coalesce("label", "rep").alias("component_id"))
-    out = described.drop("mins").join(of_set, sets, "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    worded = F.col("n") > 0  # rows without words stay out of the join, which would bring them all together
+    out = join_one(described.drop("mins").where(worded), of_set, sets, "left").unionByName(described.drop("mins").where(~worded).withColumn("component_id", F.col("doc_id")))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
