@@ -6,6 +6,7 @@ import json
 import math
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,17 +77,30 @@ AXES = [f"{a}{k}" for k in ("min", "max") for a in "xyzm"]
 BOUNDS = StructType([StructField("ok", BooleanType()), StructField("type", IntegerType()), *[StructField(a, DoubleType()) for a in AXES]])
 
 
+PLAIN_POINT = np.dtype([("order", "u1"), ("type", "<u4"), ("x", "<f8"), ("y", "<f8")])
+
+
+def one_bounds(x) -> tuple:
+    try:
+        code, box = bounds(bytes(x)) if x is not None else (None, {})
+    except ValueError:
+        return (False, None, *[None] * 8)
+    return (True, code, *[box.get(a, [None, None])[k] for k in (0, 1) for a in "xyzm"])
+
+
 @F.pandas_udf(BOUNDS)
 def wkb_bounds(raw: pd.Series) -> pd.DataFrame:
-    rows = []
-    for x in raw:
-        try:
-            code, box = bounds(bytes(x)) if x is not None else (None, {})
-            ok = True
-        except ValueError:
-            code, box, ok = None, {}, False
-        rows.append((ok, code, *[box.get(a, [None, None])[k] for k in (0, 1) for a in "xyzm"]))
-    return pd.DataFrame(rows, columns=["ok", "type", *AXES]).astype({a: "float64" for a in AXES} | {"type": "Int32"})
+    """Bounds of each geometry; plain little-endian points, the most common form, are read as columns, others one by one."""
+    plain = np.array([x is not None and len(x) == PLAIN_POINT.itemsize and bytes(x[:5]) == b"\x01\x01\x00\x00\x00" for x in raw], bool)
+    out = pd.DataFrame(index=range(len(raw)), columns=["ok", "type", *AXES], dtype=object)
+    points = np.frombuffer(b"".join(bytes(x) for x, p in zip(raw, plain, strict=True) if p), PLAIN_POINT)
+    out.loc[plain, "ok"], out.loc[plain, "type"] = True, 1
+    for axis in "xy":  # NaN coordinates count for nothing
+        out.loc[plain, f"{axis}min"] = out.loc[plain, f"{axis}max"] = points[axis]
+    rest = np.flatnonzero(~plain)
+    if len(rest):
+        out.loc[rest] = pd.DataFrame([one_bounds(raw.iloc[i]) for i in rest], columns=out.columns, index=rest)
+    return out.astype({a: "float64" for a in AXES} | {"ok": "bool", "type": "Int32"})
 
 
 def bounding_box(df: DataFrame, column: str) -> DataFrame:

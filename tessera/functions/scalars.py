@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import struct
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, MapType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, FloatType, MapType, NumericType, StringType, StructType
 
 # Limits of 64-bit integers and the Julian day of 1970-01-01.
 INT64_MIN, INT64_MAX, UINT32_MAX, EPOCH_JULIAN = -(1 << 63), (1 << 63) - 1, (1 << 32) - 1, 2440588
@@ -80,21 +83,68 @@ def interval_text(months: Column, days: Column, millis: Column) -> Column:
     return F.concat(F.lit("P"), F.when(text == "", "0D").otherwise(text))
 
 
+HEX, FLIPPED = "0123456789ABCDEF", "FEDCBA9876543210"
+
+
+def two_64() -> Column:
+    return F.lit(str(1 << 64)).cast("decimal(20,0)")
+
+
+def wide(x: Column) -> Column:
+    return x.cast("decimal(38,0)")
+
+
+def point(digits: Column, scale: int) -> Column:
+    """Digits of a whole number with the decimal point put in."""
+    if not scale:
+        return digits
+    padded = F.when(F.length(digits) <= scale, F.lpad(digits, scale + 1, "0")).otherwise(digits)
+    return F.concat(padded.substr(F.lit(1), F.length(padded) - scale), F.lit("."), F.right(padded, F.lit(scale)))
+
+
 def decimal_from_bytes(raw: Column, precision: int, scale: int) -> Column:
-    """Big-endian two's complement bytes (16 at most) as a decimal."""
+    """Big-endian two's complement bytes as a decimal; no bytes are 0, more than 16 and values beyond the precision null."""
     digits = F.hex(raw)
-    size = F.octet_length(raw)
-    high, low = F.conv(F.when(size > 8, F.substring(F.lpad(digits, 32, "0"), 1, 16)).otherwise("0"), 16, 10), F.conv(F.substring(F.lpad(digits, 32, "0"), 17, 16), 16, 10)
-    value = F.when(size <= 8, low.cast("decimal(38,0)")).otherwise(high.cast("decimal(20,0)") * F.lit("18446744073709551616").cast("decimal(20,0)") + low.cast("decimal(20,0)"))
     negative = F.conv(F.substring(digits, 1, 1), 16, 10).cast("int") >= 8
-    span = F.pow(F.lit(2.0), 8 * size).cast("decimal(38,0)")
-    signed = F.when(negative & (size <= 15), value - span).otherwise(value)
-    return (signed.cast("decimal(38,0)") / F.lit(10**scale).cast(f"decimal({max(1, scale + 1)},0)")).cast(f"decimal({precision},{scale})")
+    # -1 - x has the bits of x flipped, so both halves are numbers without a sign.
+    full = F.lpad(F.when(negative, F.translate(digits, HEX, FLIPPED)).otherwise(digits), 32, "0")
+    half = lambda at: wide(F.conv(F.substring(full, at, 16), 16, 10))
+    size = F.try_add(F.try_multiply(half(1).cast("decimal(19,0)"), two_64()).cast("decimal(38,0)"), half(17))
+    # A value of 38 nines fits, flipped it is one less, so the largest sizes are reached without overflow.
+    whole = F.when(negative, F.try_add(size, F.lit(1).cast("decimal(1,0)"))).otherwise(size)
+    text = F.concat(F.when(negative, "-").otherwise(""), point(whole.cast("string"), scale))
+    return F.when(F.octet_length(raw) <= 16, text.try_cast(f"decimal({precision},{scale})"))
+
+
+def decimal_to_bytes(x: Column, scale: int, size: int = 16) -> Column:
+    """The unscaled integer of a decimal as big-endian two's complement bytes; null if it needs more than `size`."""
+    text = x.cast(f"decimal(38,{scale})").cast("string")
+    negative, size_of = text.startswith("-") & (x != 0), wide(F.regexp_replace(text, "[.-]", ""))
+    bits = F.when(negative, size_of - F.lit(1).cast("decimal(1,0)")).otherwise(size_of).cast("decimal(38,0)")
+    high = F.call_function("div", bits, two_64())
+    low = bits - high.cast("decimal(19,0)") * two_64()
+    digits = F.concat(*[F.lpad(F.conv(h.cast("decimal(20,0)").cast("string"), 10, 16), 16, "0") for h in (high, low)])
+    signed = F.when(negative, F.translate(digits, HEX, FLIPPED)).otherwise(digits)
+    spare, first = F.left(signed, F.lit(32 - 2 * size)), F.conv(F.substring(signed, 33 - 2 * size, 1), 16, 10).cast("int") >= 8
+    fits = (spare == F.when(negative, "F" * (32 - 2 * size)).otherwise("0" * (32 - 2 * size))) & (first == negative)
+    return F.when(fits, F.unhex(F.right(signed, F.lit(2 * size))))
+
+
+def reverse_bytes(raw: Column) -> Column:
+    """Little-endian bytes as big-endian ones, and the other way round."""
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex(raw), F.lit("(..)"), F.lit(1))), ""))
 
 
 def decimal_unscaled(x: Column, scale: int) -> Column:
-    """The integer that a decimal of this scale stores, rounded half away from zero."""
-    return F.round(x * F.lit(10**scale), 0).cast("decimal(38,0)")
+    """The integer that a decimal of this scale stores, rounded half away from zero; held to 38 digits, NaN is the largest."""
+    most = 10**38 - 1
+    scaled = F.round(x.cast("double") * F.lit(float(10**scale)), 0)
+    held = F.when(F.isnan(scaled) | (scaled >= 1e38), F.lit(str(most)).cast("decimal(38,0)")).when(scaled <= -1e38, F.lit(str(-most)).cast("decimal(38,0)"))
+    return held.otherwise(scaled.try_cast("decimal(38,0)"))
+
+
+def decimal_to_double(unscaled: Column, scale: int) -> Column:
+    return unscaled.cast("double") / F.lit(float(10**scale))
 
 
 def decimal_byte_length(precision: int) -> int:
@@ -136,8 +186,8 @@ def hex_text(raw: Column, prefix: str = "0x") -> Column:
 
 
 def printable_cell(text: Column) -> Column:
-    """Whether bytes read as text have no control characters but tab, CR and LF."""
-    return ~text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+    """Whether a text has no control characters below 32 but tab, CR and LF."""
+    return ~text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
 
 
 def printable_stat(text: Column) -> Column:
@@ -146,8 +196,10 @@ def printable_stat(text: Column) -> Column:
 
 
 def cell_text(text: Column) -> Column:
-    """Text of more than 50 bytes as its first 47 characters and three dots, so that no character is cut."""
-    return F.when(F.octet_length(text) > 50, F.concat(F.left(text, F.lit(47)), F.lit("..."))).otherwise(text)
+    """Text of more than 50 bytes as its first 47 bytes and three dots, what is left of a character being U+FFFD; others as hex if not printable."""
+    short = F.make_valid_utf8(F.substring(text.cast("binary"), 1, 47).cast("string"))
+    shown = F.when(F.octet_length(text) > 50, F.concat(short, F.lit("..."))).otherwise(text)
+    return F.when(printable_cell(text), shown).otherwise(binary_cell(text.cast("binary")))
 
 
 def binary_cell(raw: Column) -> Column:
@@ -161,27 +213,116 @@ def size_text(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, shown(1, "KB")).when(n < 1024**3, shown(2, "MB")).otherwise(shown(3, "GB"))
 
 
+def plain_number(x: Column) -> Column:
+    """A finite float in its shortest digits without an exponent: 2.0 is 2, 1.0E-5 is 0.00001."""
+    text = F.abs(x).cast("string")
+    whole, fraction = F.regexp_extract(text, r"^(\d+)", 1), F.regexp_extract(text, r"\.(\d+)", 1)
+    exponent = F.coalesce(F.regexp_extract(text, r"E(-?\d+)", 1).try_cast("int"), F.lit(0))
+    digits, at = F.concat(whole, fraction), F.length(whole) + exponent  # the point stands behind so many digits
+    left = F.when(at <= 0, "0").otherwise(F.rpad(F.left(digits, F.greatest(at, F.lit(0))), F.greatest(at, F.lit(0)), "0"))
+    right = F.when(at <= 0, F.concat(F.repeat(F.lit("0"), -at), digits)).otherwise(F.substring(digits, at + 1, F.length(digits)))
+    right = F.regexp_replace(right, "0+$", "")
+    negative = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+    return F.concat(negative, left, F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
+
+
 def float_text(x: Column) -> Column:
-    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(x.cast("string"))
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(plain_number(x))
+
+
+def json_string(text: Column) -> Column:
+    """Quoted, with quotes, backslashes and control characters escaped."""
+    out = text
+    for c, e in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(c), F.lit(e))
+    rare = out
+    for code in (c for c in range(32) if c not in (9, 10, 13)):
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.concat(F.lit('"'), F.when(printable_cell(text), out).otherwise(rare), F.lit('"'))
+
 
+def value_text(x: Column, kind: DataType, json: bool = True) -> Column:
+    """A value of any type as text: as JSON, or as nested text (`[a, b]`, `{k: v}`, strings quoted as they are).
 
-def for_json(x: Column, kind: DataType) -> Column:
-    """A value as JSON shows it: infinite and NaN floats as words, binary as hex, map keys as text."""
+    Infinite and NaN floats are words, quoted in JSON; binary is a string if it is printable UTF-8, else hex; map keys are
+    text; dates, times and the like are quoted in Spark's own form. The result is never null.
+    """
+    quote = lambda t: F.concat(F.lit('"'), t, F.lit('"'))
+    gap = "," if json else ", "
     if isinstance(kind, (FloatType, DoubleType)):
-        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), float_text(x)).otherwise(x.cast("string"))
-    if isinstance(kind, BinaryType):
-        return F.lower(F.hex(x))
-    if isinstance(kind, ArrayType):
-        return F.transform(x, lambda e: for_json(e, kind.elementType))
-    if isinstance(kind, MapType):
-        return F.transform_keys(F.transform_values(x, lambda k, v: for_json(v, kind.valueType)), lambda k, v: k.cast("string"))
-    if isinstance(kind, StructType):
-        return F.when(x.isNotNull(), F.struct(*[for_json(x[f.name], f.dataType).alias(f.name) for f in kind]))
-    return x
+        out = F.when(F.isnan(x) | (F.abs(x) == float("inf")), quote(float_text(x))).otherwise(plain_number(x)) if json else float_text(x)
+    elif isinstance(kind, BinaryType):
+        text = x.cast("string")
+        readable = F.is_valid_utf8(text) & printable_cell(text)
+        out = F.when(readable, json_string(text) if json else quote(text)).otherwise(quote(F.lower(F.hex(x))))
+    elif isinstance(kind, ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: value_text(e, kind.elementType, json)), gap), F.lit("]"))
+    elif isinstance(kind, MapType):
+        named = isinstance(kind.keyType, (StringType, BinaryType))
+        key = lambda k: value_text(k, kind.keyType, json) if named or not json else quote(value_text(k, kind.keyType, json))
+        pairs = F.transform(F.map_entries(x), lambda e: F.concat(key(e["key"]), F.lit(":" if json else ": "), value_text(e["value"], kind.valueType, json)))
+        out = F.concat(F.lit("{"), F.array_join(pairs, gap), F.lit("}"))
+    elif isinstance(kind, StructType):
+        name = lambda n: json_string(F.lit(n)) if json else F.lit(n)
+        fields = [F.concat(name(f.name), F.lit(":" if json else ": "), value_text(x[f.name], f.dataType, json)) for f in kind]
+        out = F.concat(F.lit("{"), F.concat_ws(gap, *fields), F.lit("}"))
+    elif isinstance(kind, (NumericType, BooleanType)):
+        out = x.cast("string")
+    elif isinstance(kind, StringType):
+        out = json_string(x) if json else quote(x)
+    else:
+        out = quote(x.cast("string"))
+    return F.coalesce(F.when(x.isNotNull(), out), F.lit("null"))
+
+
+def nested_text(x: Column, kind: DataType) -> Column:
+    return value_text(x, kind, json=False)
+
+
+def cell(x: Column, kind: DataType) -> Column:
+    """A table cell: nested text, but strings without quotes and cut, and binary as hex if it isn't printable."""
+    if isinstance(kind, StringType):
+        out = cell_text(x)
+    elif isinstance(kind, BinaryType):
+        out = F.when(F.is_valid_utf8(x.cast("string")), cell_text(x.cast("string"))).otherwise(binary_cell(x))
+    elif isinstance(kind, (ArrayType, MapType, StructType, FloatType, DoubleType)):
+        return nested_text(x, kind)
+    else:
+        out = x.cast("string")
+    return F.coalesce(out, F.lit("null"))
 
 
 def ndjson(df) -> Column:
-    """A row as JSON, null fields included."""
-    floats = any(isinstance(f.dataType, (FloatType, DoubleType, BinaryType, ArrayType, MapType, StructType)) for f in df.schema)
-    fields = [(for_json(F.col(f.name), f.dataType) if floats and not isinstance(f.dataType, (FloatType, DoubleType)) else F.col(f.name)).alias(f.name) for f in df.schema]
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    """A row as one JSON object, null fields included."""
+    fields = [F.concat(json_string(F.lit(f.name)), F.lit(":"), value_text(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema]
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def stat_text(raw: bytes | None, physical: str | None) -> str:
+    """A statistic's bytes as text, by physical type; floats with four decimals, or with an exponent if very large or small."""
+    if raw is None:
+        return "null"
+    shown = "0x" + raw.hex()
+    forms = {"INT32": "<i", "INT64": "<q", "FLOAT": "<f", "DOUBLE": "<d"}
+    if physical in forms:
+        size = struct.calcsize(forms[physical])
+        if len(raw) < size:
+            return shown
+        (v,) = struct.unpack(forms[physical], raw[:size])
+        if isinstance(v, int):
+            return str(v)
+        if math.isnan(v):
+            return "NaN"
+        if math.isinf(v):
+            return "-inf" if v < 0 else "inf"
+        if abs(v) > 1e10 or (v and abs(v) < 1e-4):
+            digits, power = f"{v:.4e}".split("e")
+            return f"{digits}e{int(power)}"
+        return f"{v:.4f}"
+    if physical == "BOOLEAN":
+        return ("true" if raw[0] else "false") if raw else "?"
+    if physical in ("BYTE_ARRAY", "FIXED_LEN_BYTE_ARRAY"):
+        if len(raw) <= 100 and all(0x20 <= b <= 0x7E for b in raw):
+            return f'"{raw.decode()}"'
+        return shown if len(raw) <= 16 else f"({len(raw)} bytes)"
+    return f"({len(raw)} bytes)" if physical == "INT96" else shown

@@ -1,5 +1,6 @@
 import datetime
 import decimal
+import json
 import struct
 
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType
 
 from tessera import cli
 from tessera import functions as fn
@@ -26,16 +28,35 @@ def members(rows):
     return {x for a, b in rows for x in range(a, b)}
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(SPANS, SPANS)
-def test_range_algebra(spark, a, b):
-    na, nb = ranges.normalize(frame(spark, a)), ranges.normalize(frame(spark, b))
-    got = sorted(tuple(r) for r in na.collect())
-    assert members(got) == members(a) and all(x[1] < y[0] for x, y in zip(got, got[1:]))
-    assert members(ranges.union(na, nb).collect()) == members(a) | members(b)
-    assert members(ranges.intersect(na, nb).collect()) == members(a) & members(b)
-    rows = spark.range(31).withColumnRenamed("id", "row")
-    assert {r.row for r in ranges.contains(rows, "row", na).collect()} == members(a)
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(SPANS, SPANS, st.sampled_from([3, 1024]))
+def test_range_algebra(spark, a, b, buckets):
+    kept = ranges.BUCKETS
+    ranges.BUCKETS = buckets
+    try:
+        na, nb = ranges.normalize(frame(spark, a)), ranges.normalize(frame(spark, b))
+        got = sorted(tuple(r) for r in na.collect())
+        assert members(got) == members(a) and all(x[1] < y[0] for x, y in zip(got, got[1:]))
+        for found, want in ((ranges.union(na, nb), members(a) | members(b)), (ranges.intersect(na, nb), members(a) & members(b))):
+            rows = sorted(tuple(r) for r in found.collect())
+            assert members(rows) == want and all(x[1] < y[0] for x, y in zip(rows, rows[1:]))
+        assert {r.row for r in ranges.contains(spark.range(31).withColumnRenamed("id", "row"), "row", na).collect()} == members(a)
+    finally:
+        ranges.BUCKETS = kept
+
+
+def test_ranges_of_groups(spark, monkeypatch):
+    df = spark.createDataFrame([("a", -5, 3), ("a", 3, 9), ("b", 0, 2), ("b", 1, 1), ("b", 100, 2000)], "f string, first bigint, last bigint")
+    got = sorted(tuple(r) for r in ranges.normalize(df, "f").collect())
+    assert got == [("a", -5, 9), ("b", 0, 2), ("b", 100, 2000)]
+    other = spark.createDataFrame([("a", 0, 1), ("b", 1, 150), ("c", 0, 9)], "f string, first bigint, last bigint")
+    assert sorted(tuple(r) for r in ranges.intersect(ranges.normalize(df, "f"), other, "f").collect()) == [("a", 0, 1), ("b", 1, 2), ("b", 100, 150)]
+    rows = spark.createDataFrame([("a", -5), ("a", 9), ("b", 1999), ("b", 50), ("c", 0)], "f string, n bigint")
+    for limit in (500_000, 0):
+        monkeypatch.setattr(ranges, "BROADCAST", limit)
+        assert sorted(tuple(r) for r in ranges.contains(rows, "n", ranges.normalize(df, "f"), "f").collect()) == [("a", -5), ("b", 1999)]
+    assert ranges.is_empty(ranges.empty(spark)).first().is_empty and not ranges.is_empty(ranges.single(spark, 1, 2)).first().is_empty
+    assert ranges.is_full(ranges.full(spark, 9), 9).first().is_full and ranges.normalize(ranges.empty(spark)).count() == 0
 
 
 @pytest.mark.parametrize("op", [*flt.OPERATORS, "between"])
@@ -82,11 +103,75 @@ def test_scalars(spark):
     assert [fn.decimal_byte_length(p) for p in (1, 9, 18, 38)] == [1, 4, 8, 16]
 
 
+def test_decimal_bytes(spark):
+    """All widths, signs and the largest sizes, byte for byte."""
+    values = [0, 1, -1, 127, -128, -385, 2**63 - 1, -(2**63), 2**64, -(2**64), 10**38 - 1, 1 - 10**38, 12345678901234567890123, -12345678901234567890123]
+    rows = [(str(v), n, v.to_bytes(n, "big", signed=True)) for v in values for n in range(1, 17) if -(1 << 8 * n - 1) <= v < 1 << 8 * n - 1]
+    df = spark.createDataFrame(rows, "v string, n int, b binary")
+    got = df.select("v", fn.decimal_from_bytes(F.col("b"), 38, 0).alias("x"), fn.decimal_from_bytes(F.col("b"), 38, 5).alias("y")).collect()
+    with decimal.localcontext(prec=60):
+        assert all(r.x == decimal.Decimal(r.v) and (r.y == decimal.Decimal(r.v).scaleb(-5)) for r in got)
+    whole = spark.createDataFrame([(str(v),) for v in values], "v string").select("v", F.col("v").cast("decimal(38,0)").alias("d"))
+    for n in (1, 8, 9, 12, 15, 16):
+        for r in whole.select("v", fn.decimal_to_bytes(F.col("d"), 0, n).alias("b")).collect():
+            fits = -(1 << 8 * n - 1) <= int(r.v) < 1 << 8 * n - 1
+            assert (bytes(r.b) if r.b is not None else None) == (int(r.v).to_bytes(n, "big", signed=True) if fits else None)
+    get = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert get(fn.decimal_from_bytes(F.unhex(F.lit("00" * 17)), 38, 0)) is None and get(fn.decimal_from_bytes(F.unhex(F.lit("")), 9, 2)) == 0
+    assert get(fn.decimal_from_bytes(F.unhex(F.lit("7F" + "FF" * 15)), 38, 0)) is None and get(fn.decimal_from_bytes(F.unhex(F.lit("0400")), 3, 1)) is None
+    assert get(fn.reverse_bytes(F.unhex(F.lit("0102FF")))) == b"\xff\x02\x01"
+    assert get(fn.decimal_unscaled(F.lit(123.455), 2)) == 12346 and get(fn.decimal_unscaled(F.lit(float("nan")), 2)) == 10**38 - 1 and get(fn.decimal_unscaled(F.lit(-1e300), 2)) == 1 - 10**38
+    assert get(fn.decimal_to_double(F.lit(-12345), 2)) == -123.45
+
+
+def test_value_text(spark):
+    kind = "a array<double>, m map<string,double>, n map<int,binary>, s struct<x:int,`y z`:string>, b binary, d double, e decimal(9,2), t string"
+    df = spark.createDataFrame([([1.5, float("nan"), None, 2.0, 1e20, -1e-7, float("-inf")], {"a": 2.0}, {3: b"\x00\xff"}, (1, 'q"\\\n\x01\x1f\x7f'), b"plain\t", 1e-300, decimal.Decimal("1.50"), None)], kind)
+    text = df.select(fn.ndjson(df).alias("j")).first().j
+    assert json.loads(text) == {"a": [1.5, "nan", None, 2, 10**20, -1e-7, "-inf"], "m": {"a": 2}, "n": {"3": "00ff"}, "s": {"x": 1, "y z": 'q"\\\n\x01\x1f\x7f'}, "b": "plain\t", "d": 1e-300, "e": 1.5, "t": None}
+    assert "\\u001f" in text and "100000000000000000000" in text
+    row = df.select(*[fn.nested_text(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
+    assert row.a == "[1.5, nan, null, 2, 100000000000000000000, -0.0000001, -inf]" and row.m == '{"a": 2}' and row.s == '{x: 1, y z: "q"\\\n\x01\x1f\x7f"}' and row.t == "null"
+    get = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert get(fn.printable_cell(F.lit("a\x7f\t"))) and not get(fn.printable_cell(F.lit("\x1f")))
+    assert get(fn.cell_text(F.lit("x" * 51))) == "x" * 47 + "..." and get(fn.cell_text(F.lit("é" * 30))) == "é" * 23 + "\ufffd..." and get(fn.cell_text(F.lit("a\x01b"))) == "610162"
+    assert get(fn.cell(F.lit(b"\x00" * 20), BinaryType())) == "00" * 16 + "..." and get(fn.cell(F.lit(None).cast("int"), IntegerType())) == "null"
+    assert [get(fn.plain_number(F.lit(x))) for x in (0.0, -0.0, 100.0, 1.25e-3, 123456789.125, 1.7976931348623157e308)] == ["0", "-0", "100", "0.00125", "123456789.125", str(17976931348623157 * 10**292)]
+
+
+SHREDDED = [
+    ("array<array<int>>", [[[1, 2], [], None, [None, 3]], [], None, [[]]]),
+    ("array<struct<a:int,b:array<string>>>", [[(1, ["x", None]), None, (None, None), (2, [])], [], None]),
+    ("map<string,array<int>>", [{"a": [1, None], "b": None, "c": []}, {}, None]),
+    ("struct<x:struct<y:array<int>>,z:double>", [(([1],), 2.0), ((None,), None), (None, 1.0), None]),
+    ("int", [1, None]),
+]
+
+
+@pytest.mark.parametrize("kind, values", SHREDDED)
+def test_shred_and_assemble(spark, kind, values):
+    df = spark.createDataFrame(list(enumerate(values)), f"k int, v {kind}")
+    own = df.schema["v"].dataType
+    leaves = [p[2:] for p, _, _ in nested.leaf_levels(own, "v")]
+    parts = {p: nested.shred(df, "k", "v", p) for p in leaves}
+    back = nested.assemble(parts, "k", "v", own)
+    assert dict(map(tuple, back.collect())) == dict(map(tuple, df.collect()))
+    if kind.startswith("array<array"):
+        got = [tuple(r)[2:] for r in parts[leaves[0]].orderBy("k", "pos").collect()]
+        assert got == [(0, 5, 1), (2, 5, 2), (1, 3, None), (1, 2, None), (1, 4, None), (2, 5, 3), (0, 1, None), (0, 0, None), (0, 3, None)]
+
+
 def test_geometry(spark):
     point, line = struct.pack("<BIdd", 1, 1, 10, 20), struct.pack("<BII4d", 1, 2, 2, 0, 1, 30, -5)
     good = spark.createDataFrame([(point,), (line,), (None,)], "g binary")
     box = fn.bounding_box(good, "g").first()
     assert (box.xmin, box.ymin, box.xmax, box.ymax, box.geometry_types, box.zmin) == (0, -5, 30, 20, [1, 2], None)
+    odd = spark.createDataFrame([(struct.pack("<BIdd", 1, 1, float("nan"), 9.0),), (struct.pack(">BIdd", 0, 1, -8, 4),), (struct.pack("<BIddd", 1, 1001, 1, 2, 3),)], "g binary")
+    more = fn.bounding_box(good.union(odd), "g").first()
+    assert (more.xmin, more.ymin, more.xmax, more.ymax, more.zmin, more.geometry_types) == (-8, -5, 30, 20, 3, [1, 2, 1001])
+    seen = []
+    scan.visit(spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").first(), lambda k, v: seen.append((k, v)) or k < 1)
+    assert seen == [(0, 1), (1, 2)]
     bad = good.union(spark.createDataFrame([(b"\x01\x01",)], "g binary"))
     assert fn.bounding_box(bad, "g").first().xmin is None
 
