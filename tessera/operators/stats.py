@@ -38,8 +38,9 @@ def page_stats(df: DataFrame, row: str, column: str, size: int) -> DataFrame:
 
 
 def page_boundaries(pages: DataFrame, total: int, *by: str) -> DataFrame:
-    """Adds end_row: where the next page of a chunk starts, or the row group's rows. One row a page, so windows are small."""
-    return pages.withColumn("end_row", F.lead("first_row", 1, total).over(Window.partitionBy(*by).orderBy("page")))
+    """Adds end_row: where the next page of a chunk starts, or the row group's rows. Page numbers are dense, so the next one is looked up by number."""
+    following = pages.select(*by, (F.col("page") - 1).alias("page"), F.col("first_row").alias("end_row"))
+    return pages.join(following, [*by, "page"], "left").withColumn("end_row", F.coalesce("end_row", F.lit(total)))
 
 
 def boundary_order(pages: DataFrame, *by: str) -> DataFrame:
@@ -52,9 +53,9 @@ def boundary_order(pages: DataFrame, *by: str) -> DataFrame:
 
 
 def page_filter(df: DataFrame, row: str, size: int, *filters) -> DataFrame:
-    """Rows of the pages that may match all filters, a superset of the exact rows.
+    """Rows of the pages that may match all filters, a superset of the exact rows, for tables that have no page indexes.
 
-    Page statistics and rows meet on the page number: pages are as many as rows / size, and Spark picks the join by size.
+    Statistics are worked out from the rows; pages.page_scan() reads those that files have. Page statistics and rows meet on the page number: pages are as many as rows / size, and Spark picks the join by size.
     """
     kept = [page_stats(df, row, f.column, size).where(f.keeps()).select("page") for f in filters]
     pages = reduce(lambda a, b: a.join(b, "page", "left_semi"), kept)
