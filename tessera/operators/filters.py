@@ -21,7 +21,11 @@ OPERATORS = {"eq": operator.eq, "ne": operator.ne, "lt": operator.lt, "le": oper
 
 @dataclass(frozen=True)
 class ColumnFilter:
-    """`op` is one of OPERATORS, `between` (inclusive) or `raw` (value: a function from a column to a condition)."""
+    """`op` is one of OPERATORS, `between` (inclusive) or `raw`.
+
+    A raw filter's value is a function from a column to a condition on rows; `high`, if given, one from (min, max, null_page) to a
+    condition on pages, without which every page is kept.
+    """
 
     column: str
     op: str
@@ -43,7 +47,7 @@ class ColumnFilter:
     def keeps(self, low: str = "min", high: str = "max", null_page: str = "null_page") -> Column:
         lo, hi = F.col(low), F.col(high)
         if self.op == "raw":
-            return F.lit(True)
+            return F.coalesce(self.high(lo, hi, F.col(null_page)), F.lit(True)) if self.high else F.lit(True)
         v = self.literal(self.value)
         may = {
             "eq": lambda: (lo <= v) & (hi >= v),
@@ -74,8 +78,8 @@ cmp_i32, cmp_i64, cmp_f32, cmp_f64, cmp_bytes = map(compare, ("int", "bigint", "
 between_i32, between_i64, between_f32, between_f64, between_bytes = map(between, ("int", "bigint", "float", "double", None))
 
 
-def raw(column: str, condition: Callable[[Column], Column]) -> ColumnFilter:
-    return ColumnFilter(column, "raw", condition)
+def raw(column: str, condition: Callable[[Column], Column], pages: Callable[[Column, Column, Column], Column] | None = None) -> ColumnFilter:
+    return ColumnFilter(column, "raw", condition, pages)
 
 
 def where_all(df: DataFrame, *filters: ColumnFilter) -> DataFrame:

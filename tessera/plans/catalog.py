@@ -11,13 +11,15 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .. import functions as fn
 from ..operators import filters as flt
-from ..operators import nested, ranges, stats
-from ..sources import metadata
-from ..sources.scan import head, project, scan
+from ..operators import nested, pages, ranges, stats
+from ..session import scratch
+from ..sources import custom, metadata, schema, sink, writer
+from ..sources.scan import head, numbered, open_buffer, project, row_group, rows, scan, write_buffer
+from ..streaming import append
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -376,27 +378,234 @@ def wkb_bbox(spark, d):
     return fn.bounding_box(points, "geom").select("xmin", "ymin", "xmax", "ymax")
 
 
+@query("SELECT o_orderkey, CAST(CAST(-o_orderkey AS HUGEINT) * 1000000007 AS VARCHAR) AS b8, CAST(CAST(-o_orderkey - 1 AS HUGEINT) * 10000000000000000 AS VARCHAR) AS b9, "
+       "CAST(CAST(-o_orderkey - 1 AS HUGEINT) * 100000000000000000000 - 1 AS VARCHAR) AS b12, CAST(CAST(o_orderkey % 3 - 1 AS HUGEINT) * 12345678901234567890123456789012345678 AS VARCHAR) AS b16, "
+       "lower(hex(CAST(o_orderkey AS BIGINT))) AS positive FROM orders")
+def decimal_bytes(spark, d):
+    k = F.col("o_orderkey").cast("decimal(38,0)")
+    many = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    text = lambda x, n: fn.decimal_from_bytes(fn.decimal_to_bytes(x.cast("decimal(38,0)"), 0, n), 38, 0).cast("string")
+    digits = F.regexp_replace(F.lower(F.hex(fn.decimal_to_bytes(k, 0, 8))), "^0+(?=.)", "")
+    b12 = -((k + 1) * many(10**20)).cast("decimal(38,0)") - 1
+    third = F.element_at(F.array(many(-12345678901234567890123456789012345678), many(0), many(12345678901234567890123456789012345678)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", text(-k * 1000000007, 8).alias("b8"), text(-(k + 1) * many(10**16), 9).alias("b9"), text(b12, 12).alias("b12"), text(third, 16).alias("b16"), digits.alias("positive"))
+
+
+NUMBER = "regexp_replace(CAST({0} AS VARCHAR), '\\.0$', '')"
+BAL, SIXTH = NUMBER.format("s_acctbal"), NUMBER.format("s_acctbal + 0.5")
+
+
+def nested_supplier(spark, d):
+    """Arrays, maps and structs with nulls, NaN, infinities and text that needs escapes."""
+    odd = F.when(F.col("s_suppkey") % 3 == 0, F.lit(float("nan"))).when(F.col("s_suppkey") % 3 == 1, F.lit(float("-inf")))
+    note = F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_name", F.lit('"\\\n\x1f')))
+    bal = F.col("s_acctbal")
+    return read(spark, d, "supplier").select("s_suppkey", F.array(bal, odd, bal + 0.5).alias("a"), F.create_map(F.col("s_nationkey").cast("int"), bal).alias("m"), F.struct(note.alias("n"), F.array(odd).alias("x")).alias("s"))
+
+
+ODD_JSON = """CASE s_suppkey % 3 WHEN 0 THEN '"nan"' WHEN 1 THEN '"-inf"' ELSE 'null' END"""
+NOTE_JSON = """CASE WHEN s_suppkey % 2 = 0 THEN '"' || s_name || '\\"\\\\\\n\\u001f"' ELSE 'null' END"""
+
+
+@query(f"""SELECT s_suppkey, '{{"s_suppkey":' || s_suppkey || ',"a":[' || {BAL} || ',' || {ODD_JSON} || ',' || {SIXTH} || '],"m":{{"' || s_nationkey || '":' || {BAL} || '}},"s":{{"n":' || {NOTE_JSON} || ',"x":[' || {ODD_JSON} || ']}}}}' AS value FROM supplier""")
+def ndjson_nested(spark, d):
+    df = nested_supplier(spark, d)
+    return df.select("s_suppkey", fn.ndjson(df).alias("value"))
+
+
+@query(f"""SELECT s_suppkey, '[' || {BAL} || ', ' || replace({ODD_JSON}, '"', '') || ', ' || {SIXTH} || ']' AS a, '{{' || s_nationkey || ': ' || {BAL} || '}}' AS m FROM supplier""")
+def nested_text(spark, d):
+    df = nested_supplier(spark, d)
+    return df.select("s_suppkey", *[fn.nested_text(F.col(c), df.schema[c].dataType).alias(c) for c in ("a", "m")])
+
+
+@query("SELECT n_nationkey, least(n_nationkey * 3600 + 61, 9223372036854775807) * 1000000 + 7 AS micros, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, 'none') AS name, n_nationkey % 2 <> 0 AS missing FROM nation")
+def time_and_defaults(spark, d):
+    k, name = F.col("n_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))
+    return read(spark, d, "nation").select("n_nationkey", fn.time_from_hms(k, F.lit(1), F.lit(1), F.lit(7)).alias("micros"), fn.value_or(name, "none").alias("name"), name.isNull().alias("missing"))
+
+
+@query("SELECT 2 AS type, min(least(c_acctbal, 3.0)) AS xmin, max(greatest(c_acctbal, 3.0)) AS xmax, min(c_custkey) * 1.0 AS ymin, max(c_custkey) + 1.0 AS ymax FROM customer")
+def wkb_lines(spark, d):
+    @F.pandas_udf("binary")
+    def line(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([struct.pack("<BII4d", 1, 2, 2, a, b, 3.0, b + 1) for a, b in zip(x, y, strict=True)])
+
+    lines = read(spark, d, "customer").select(line("c_acctbal", F.col("c_custkey").cast("double")).alias("geom"))
+    return fn.bounding_box(lines, "geom").select(F.get("geometry_types", F.lit(0)).alias("type"), "xmin", "xmax", "ymin", "ymax")
+
+
+# Nested columns as Parquet holds them
+
+LISTS = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE [CASE WHEN (event_id + i) % 7 = 0 THEN NULL ELSE range(i) END FOR i IN range(event_id % 4)] END AS v FROM events"
+
+
+def lists_of_lists(spark, d):
+    inner = lambda i: F.when((F.col("event_id") + i) % 7 != 0, F.when(i == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(0).cast("bigint"), (i - 1).cast("bigint"))))
+    outer = F.when(F.col("event_id") % 4 == 0, F.array().cast("array<array<bigint>>")).otherwise(F.transform(F.sequence(F.lit(0), (F.col("event_id") % 4 - 1).cast("int")), inner))
+    return read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, outer).alias("v"))
+
+
+@query(
+    f"WITH l AS ({LISTS}), o AS (SELECT event_id, v, i FROM l, unnest(CASE WHEN v IS NULL OR len(v) = 0 THEN [0] ELSE range(1, len(v) + 1) END) AS t(i)), "
+    "x AS (SELECT event_id, v, i, v[i] AS w, j FROM o, unnest(CASE WHEN i = 0 OR v[i] IS NULL OR len(v[i]) = 0 THEN [0] ELSE range(1, len(v[i]) + 1) END) AS t(j)) "
+    "SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY i, j) - 1 AS pos, CASE WHEN i <= 1 AND j <= 1 THEN 0 WHEN j <= 1 THEN 1 ELSE 2 END AS rep_level, "
+    "CASE WHEN v IS NULL THEN 0 WHEN len(v) = 0 THEN 1 WHEN w IS NULL THEN 2 WHEN len(w) = 0 THEN 3 ELSE 5 END AS def_level, CASE WHEN j > 0 THEN w[j] END AS value FROM x"
+)
+def shred_lists(spark, d):
+    # Elements are required where Spark knows that they can't be null; Parquet files have them optional.
+    df = lists_of_lists(spark, d)
+    kind = StructType().add("event_id", "long").add("v", ArrayType(ArrayType(LongType())))
+    return nested.shred(df.to(kind), "event_id", "v", "list.element.list.element")
+
+
+@query(f"SELECT event_id, CASE WHEN v IS NULL THEN 'null' ELSE '[' || array_to_string([CASE WHEN w IS NULL THEN 'null' ELSE '[' || array_to_string(w, ', ') || ']' END FOR w IN v], ', ') || ']' END AS text FROM ({LISTS}) AS l")
+def assemble_lists(spark, d):
+    kind = StructType().add("event_id", "long").add("v", ArrayType(ArrayType(LongType())))
+    leaf = "list.element.list.element"
+    back = nested.assemble({leaf: nested.shred(lists_of_lists(spark, d).to(kind), "event_id", "v", leaf)}, "event_id", "v", kind["v"].dataType)
+    return back.select("event_id", fn.nested_text(F.col("v"), kind["v"].dataType).alias("text"))
+
+
+@query("SELECT n_nationkey, 0 AS pos, n_name AS entry_key, CASE WHEN n_regionkey > 0 THEN n_regionkey END AS entry_value, 0 AS rep_level, CASE WHEN n_regionkey > 0 THEN 3 ELSE 2 END AS def_level FROM nation")
+def map_levels(spark, d):
+    n = read(spark, d, "nation").select("n_nationkey", F.create_map("n_name", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey"))).alias("m"))
+    return nested.flatten_map_levels(n, "n_nationkey", "m")
+
+
+# Files: written with a layout and read again
+
+
+def round_trip(spark, d, table: str, layout: sink.Layout, arrow: bool) -> DataFrame:
+    path = scratch(spark, "round-trip")
+    df = read(spark, d, table)
+    if arrow:
+        sink.write_arrow(df, path, layout)
+    else:
+        sink.write(df, path, layout)
+    return scan(spark, path, reader="auto")
+
+
+LAYOUTS = {
+    **{f"roundtrip_{c}": (sink.Layout(c), False) for c in ("none", "snappy", "gzip", "lz4", "zstd")},
+    "roundtrip_brotli": (sink.Layout("brotli"), True),
+    "roundtrip_plain": (sink.Layout(dictionary=False, checksum=False), False),
+    "roundtrip_delta": (sink.Layout(delta=True, dictionary=False), False),
+    "roundtrip_delta_arrow": (sink.Layout(delta=True), True),
+    "roundtrip_split": (sink.Layout(float_encoding="BYTE_STREAM_SPLIT", by_path={"o_custkey": {"encoding": "BYTE_STREAM_SPLIT", "codec": "gzip"}}), True),
+    "roundtrip_small_pages": (sink.Layout(rows_per_group=700, rows_per_page=50, dictionary_bytes=200), False),
+    "roundtrip_metadata": (sink.Layout(page_bytes=500, rows_per_group=300, metadata={"made": "here"}, sort=(("o_custkey", True, False), "o_orderkey")), True),
+}
+
+for _name, (_layout, _arrow) in LAYOUTS.items():
+    query("SELECT * FROM orders", _name)(lambda spark, d, layout=_layout, arrow=_arrow: round_trip(spark, d, "orders", layout, arrow))
+
+
+def paged_orders(spark, d) -> str:
+    """orders in order of their key, in one file of pages of 100 rows and groups of 1,000."""
+    path = scratch(spark, "paged")
+    sink.write(read(spark, d, "orders").coalesce(1), path, sink.Layout(rows_per_group=1000, rows_per_page=100, dictionary=False, sort=("o_orderkey",)))
+    return path
+
+
+PAGE_OF = "o_orderkey // 100 IN (SELECT o_orderkey // 100 FROM orders GROUP BY 1 HAVING {0})"
+
+
+@query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE {PAGE_OF.format('max(o_totalprice) > 499000')}")
+def page_index_scan(spark, d):
+    return pages.page_scan(spark, paged_orders(spark, d), flt.cmp_f64("o_totalprice", "gt", 499000.0), columns=["o_orderkey", "o_totalprice"])
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE {PAGE_OF.format('min(o_custkey) <= 3')} AND {PAGE_OF.format('max(o_orderkey) >= 250 AND min(o_orderkey) <= 777')} AND {PAGE_OF.format(chr(34) + 'min' + chr(34) + '(o_orderpriority) <= ' + chr(39) + '1-URGENT' + chr(39))}")
+def page_index_scan_and(spark, d):
+    wanted = (flt.cmp_i64("o_custkey", "le", 3), flt.between_i64("o_orderkey", 250, 777), flt.cmp_bytes("o_orderpriority", "le", "1-URGENT"))
+    return pages.page_scan(spark, paged_orders(spark, d), *wanted, columns=["o_orderkey"])
+
+
+@query("SELECT o_orderkey // 100 * 100 AS first_row, least((o_orderkey // 100 + 1) * 100, (SELECT count(*) FROM orders)) AS end_row, min(o_custkey) AS low, max(o_custkey) AS high, 0 AS null_count, false AS null_page FROM orders GROUP BY o_orderkey // 100")
+def page_index_bounds(spark, d):
+    found = metadata.page_index(spark, paged_orders(spark, d)).where("path = 'o_custkey'")
+    return found.select((F.col("group_first") + F.col("first_row")).alias("first_row"), (F.col("group_first") + F.col("end_row")).alias("end_row"), F.col("min_long").alias("low"), F.col("max_long").alias("high"), F.col("null_count").cast("int").alias("null_count"), "null_page")
+
+
+@query("SELECT o_orderkey AS row_index, o_orderkey FROM orders")
+def row_numbers(spark, d):
+    return numbered(spark.read.parquet(paged_orders(spark, d))).select("row_index", "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey // 1000 = 1")
+def row_group_scan(spark, d):
+    file = spark.read.parquet(paged_orders(spark, d)).inputFiles()[0]
+    return project(row_group(spark, file, 1), ["o_orderkey", "o_custkey"])
+
+
+@query("SELECT * FROM nation")
+def custom_source(spark, d):
+    return custom.scan_source(spark, custom.path_source(f"{d}/nation.parquet"))
+
+
+@query("SELECT n_name, n_nationkey FROM nation")
+def buffer_source(spark, d):
+    data = write_buffer(read(spark, d, "nation"))
+    return custom.scan_source(spark, custom.buffer_source(data), ["n_name", "n_nationkey"])
+
+
+@query("SELECT n_nationkey, n_name, [n_regionkey, NULL] AS pair FROM nation")
+def row_writer(spark, d):
+    out = writer.RowWriter(layout=sink.Layout(rows_per_group=10))
+    for c in (schema.column("n_nationkey", "int64").required(), schema.column("n_name", "string"), schema.list_of("pair", schema.column("element", "int64"))):
+        out.add_column(c)
+    out.begin()
+    for r in rows(read(spark, d, "nation")):
+        out.set("n_nationkey", r["n_nationkey"])
+        out.set(1, r["n_name"])
+        out.set("pair", [r["n_regionkey"], None])
+        out.add_row()
+    return open_buffer(spark, out.close())
+
+
+@query("SELECT * FROM part")
+def append_stream(spark, d):
+    path, source = scratch(spark, "appended"), read(spark, d, "part")
+    stream = append.read_stream(spark, f"{d}/part.parquet*", source.schema)
+    append.append_stream(stream, path, scratch(spark, "offsets")).awaitTermination()
+    return spark.read.schema(source.schema).parquet(path).select(*source.columns)
+
+
 # Metadata of the table files
 
 
-@query()
+def base_name():
+    return F.regexp_extract("file", r"[^/]+$", 0).alias("name")
+
+
+@query("SELECT 'orders.parquet' AS name, count(*) AS num_rows, (SELECT count(*) FROM (DESCRIBE orders)) AS num_leaves FROM orders UNION ALL SELECT 'nation.parquet', count(*), (SELECT count(*) FROM (DESCRIBE nation)) FROM nation")
 def footer_meta(spark, d):
-    return metadata.footers(spark, f"{d}/orders.parquet", f"{d}/nation.parquet").select(F.regexp_extract("file", r"[^/]+$", 0).alias("name"), "num_rows", "num_row_groups", "num_leaves")
+    return metadata.footers(spark, f"{d}/orders.parquet", f"{d}/nation.parquet").select(base_name(), "num_rows", F.col("num_leaves").cast("long").alias("num_leaves"))
 
 
-@query()
+@query("SELECT column_name AS path, CASE column_type WHEN 'BIGINT' THEN 'INT64' WHEN 'DOUBLE' THEN 'DOUBLE' WHEN 'VARCHAR' THEN 'BYTE_ARRAY' WHEN 'INTEGER' THEN 'INT32' WHEN 'DATE' THEN 'INT32' ELSE 'INT64' END AS physical_type, "
+       "(SELECT count(*) FROM orders) AS num_values FROM (DESCRIBE orders)")
 def chunk_meta(spark, d):
-    return metadata.chunks(spark, f"{d}/orders.parquet").select("row_group", "path", "physical_type", "codec", "num_values", "null_count")
+    return metadata.chunks(spark, f"{d}/orders.parquet").groupBy("path", "physical_type").agg(F.sum("num_values").alias("num_values"))
+
+
+@query("SELECT CAST(min(o_custkey) AS VARCHAR) AS low, CAST(max(o_custkey) AS VARCHAR) AS high, count(*) - count(o_custkey) AS null_count FROM orders")
+def chunk_bounds(spark, d):
+    found = metadata.chunks(spark, f"{d}/orders.parquet").where("path = 'o_custkey'")
+    return found.agg(F.min(F.col("min").cast("bigint")).cast("string").alias("low"), F.max(F.col("max").cast("bigint")).cast("string").alias("high"), F.sum("null_count").alias("null_count"))
 
 
-@query()
+@query("SELECT column_name AS path, true AS has_bytes, 100.0 AS total FROM (DESCRIBE orders)")
 def size_breakdown(spark, d):
-    return metadata.column_summary(metadata.chunks(spark, f"{d}/orders.parquet")).select("path", "compressed", "pct")
+    found = metadata.column_summary(metadata.chunks(spark, f"{d}/orders.parquet"))
+    total = found.agg(F.round(F.sum("pct")).cast("double").alias("total"))  # one row
+    return found.select("path", (F.col("compressed") > 0).alias("has_bytes")).join(F.broadcast(total))
 
 
-@query()
+@query("SELECT 'orders.parquet' AS name, 'ok' AS status, count(*) AS rows_read FROM orders UNION ALL SELECT 'nation.parquet', 'ok', count(*) FROM nation")
 def validate_files(spark, d):
-    return metadata.validate(spark, f"{d}/orders.parquet", f"{d}/nation.parquet").select(F.regexp_extract("file", r"[^/]+$", 0).alias("name"), "status", "rows_read")
+    return metadata.validate(spark, f"{d}/orders.parquet", f"{d}/nation.parquet").select(base_name(), "status", "rows_read")
 
 
 def queries() -> dict[str, Query]:

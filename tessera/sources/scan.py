@@ -3,26 +3,87 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..operators.filters import ColumnFilter, where_all
 
 
-def scan(spark: SparkSession, path: str, columns: list[str] | None = None, filters: tuple[ColumnFilter, ...] = (), schema=None) -> DataFrame:
+# What Spark's vectorized reader or its codecs refuse.
+REFUSED_CODECS, REFUSED_ENCODINGS = {"BROTLI", "LZO"}, {"BYTE_STREAM_SPLIT"}
+
+
+def needs_arrow(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's reader refuses the files, by the first file's first row group; codecs and encodings are the same throughout a folder as a rule."""
+    names = spark.read.parquet(path).inputFiles()
+    if not names:
+        return False
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(names[0]), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        blocks = reader.getFooter().getBlocks()
+        for chunk in blocks[0].getColumns() if len(blocks) else ():
+            if chunk.getCodec().name() in REFUSED_CODECS or REFUSED_ENCODINGS & {e.name() for e in chunk.getEncodings()}:
+                return True
+        return False
+    finally:
+        reader.close()
+
+
+def scan(spark: SparkSession, path: str, columns: list[str] | None = None, filters: tuple[ColumnFilter, ...] = (), schema=None, reader: str = "spark") -> DataFrame:
     """Rows of a file or folder; columns in the order asked for. Both columns and filters reach the Parquet reader.
 
-    `schema` gives types that Spark doesn't infer, such as binary for UUID and half-precision columns.
+    `schema` gives types that Spark doesn't infer, such as binary for UUID and half-precision columns. `reader` is `spark`,
+    `arrow` for files that Spark's reader refuses (brotli, byte stream split), or `auto` to look at a footer first.
     """
-    reader = spark.read.schema(schema) if schema else spark.read
-    df = where_all(reader.parquet(path), *filters)
+    if reader == "arrow" or reader == "auto" and needs_arrow(spark, path):
+        wanted = columns if columns is None else [*dict.fromkeys([*[c for c in columns if isinstance(c, str)], *[f.column.split(".")[0] for f in filters]])]
+        df = scan_arrow(spark, path, wanted, schema)
+    else:
+        df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    df = where_all(df, *filters)
     return project(df, columns) if columns is not None else df
 
 
+def scan_arrow(spark: SparkSession, path: str, columns: list[str] | None = None, schema=None) -> DataFrame:
+    """Rows through the Arrow reader, a row group at a time in tasks; only the wanted columns are read."""
+    from .metadata import files, open_file
+
+    kind = (spark.read.schema(schema) if schema else spark.read).parquet(path).schema
+    names = columns if columns is not None else kind.names
+    if bad := [c for c in names if c not in kind.names]:
+        raise ValueError(f"no column {bad[0]!r}")
+    own = StructType([kind[c] for c in names])
+    target = to_arrow_schema(own)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                system, inside = open_file(file)
+                with system.open_input_file(inside) as f:
+                    n = pq.read_metadata(f).num_row_groups
+                yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array(range(n), pa.int32())], ["file", "row_group"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, g in zip(batch.column("file").to_pylist(), batch.column("row_group").to_pylist(), strict=True):
+                system, inside = open_file(file)
+                with system.open_input_file(inside) as f:
+                    for b in pq.ParquetFile(f, coerce_int96_timestamp_unit="us").iter_batches(row_groups=[g], columns=names):
+                        yield from pa.Table.from_batches([b]).select(names).cast(target).to_batches()
+
+    listed = files(spark, path).where("size > 0").select("file").mapInArrow(groups, "file string, row_group int")
+    # A row group is a task's unit; they are dealt out, as a task would else get all of a file.
+    return listed.repartition(max(1, spark.sparkContext.defaultParallelism * 4)).mapInArrow(run, own)
+
+
 def project(df: DataFrame, columns: list[str | int]) -> DataFrame:
     """Top-level columns by name or place, in list order; an unknown one is an error."""
     names = [df.columns[c] if isinstance(c, int) and 0 <= c < len(df.columns) else c for c in columns]
@@ -59,9 +120,29 @@ def rows(df: DataFrame) -> Iterator[Row]:
     return df.toLocalIterator()
 
 
+def visit(row: Row, function: Callable[[int, object], bool]) -> None:
+    """Calls a function with the place and value of each column until it answers False."""
+    for place, value in enumerate(row):
+        if function(place, value) is False:
+            return
+
+
 def batches(df: DataFrame) -> pa.RecordBatchReader:
-    """Arrow batches of a result that fits the driver; larger ones stay in Spark with map_batches()."""
-    return df.toArrow().to_reader()
+    """Arrow batches of a result as a stream: the driver holds one partition at a time, whatever the size of the whole."""
+    schema = to_arrow_schema(df.schema)
+
+    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["ipc"])
+
+    def stream() -> Iterator[pa.RecordBatch]:
+        for row in df.mapInArrow(packed, "ipc binary").toLocalIterator():
+            yield from pa.Table.from_batches(pa.ipc.open_stream(bytes(row["ipc"]))).cast(schema).to_batches()
+
+    return pa.RecordBatchReader.from_batches(schema, stream())
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
