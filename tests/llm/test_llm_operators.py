@@ -527,3 +527,52 @@ def test_pipeline(spark, tmp_path):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {1, 5, 6}
     assert got[6].decoded_sha256 == hashlib.sha256(b"other words stand in number six").hexdigest()
+
+
+PIPELINE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def pipeline_by_brute_force(spark, rows, items):
+    """(doc_id, text) that remain, stage by stage on what the stage before kept; the language model is the operator's own."""
+    df = spark.createDataFrame(rows, PIPELINE_COLUMNS)
+    net = language.train_on(df, common.crc_mod("doc_id", 3) != 1)
+    known = language.identify(df, net).collect()
+    rejected = {r.doc_id for r in known if r.lang_pred == "und" or r.score < corpus_pipeline.LEAST_SCORE}
+    kept = [(d, t) for d, t, *_ in rows if d is None or d not in rejected]
+    owner = {}
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(lines.LOWER)
+    for d, t in kept:
+        for x in (t or "").split("\n"):
+            if d is not None:
+                owner[key(x)] = min(d, owner.get(key(x), d))
+    kept = [(d, t if d is None else "\n".join(x for x in (t or "").split("\n") if len(key(x)) < 10 or owner[key(x)] == d)) for d, t in kept]
+    kept = [(d, t or "") for d, t in kept]
+    groups = components([(d, t) for d, t in kept if d is not None], 5, 80)
+    kept = [(d, t) for d, t in kept if d is None or groups[d][1] == d]
+    leaked = {d for d, _ in overlaps(kept, items)}
+    return [(d, t) for d, t in kept if d not in leaked]
+
+
+def test_pipeline_against_brute_force(spark, texts, tmp_path):
+    """All five stages, with null ids and texts, repeated rows, ties, a text of 100,000 words and copies of it."""
+    rng = random.Random(8)
+    words = "the calm sea was near an old town and all of its boats came home".split()
+    long = " ".join(rng.choice(words) for _ in range(100_000))
+    items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
+    more = [(7000, long), (7001, long + " again"), (7002, None), (7003, "repeated row of the sea and the town"), (7003, "repeated row of the sea and the town"), (None, "a row without an id near the sea"), (None, None), (7004, f"the town {items[0][1]} the sea")]
+    rows = [(d, t, "en" if d is None or d % 2 else None, "s", len(t or "")) for d, t in texts + more]
+    spark.createDataFrame(rows, PIPELINE_COLUMNS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = pipeline_by_brute_force(spark, rows, items)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((r.doc_id or -1, r.decoded_sha256) for r in got) == sorted((d or -1, digest(t)) for d, t in want)
+    library = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    counts = {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in want if d is not None}
+    assert {r.doc_id: r.n_tokens for r in got if r.doc_id is not None} == counts and 7004 not in counts and 7001 not in counts
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], PIPELINE_COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
