@@ -61,11 +61,16 @@ def most_agreeing(train: Column, i: Column, item: Column, j: Column, size: Colum
     """
     before = F.least(i, j)
     length = before + F.greatest(F.least(F.size(train) - i, F.size(item) - j), F.lit(0))  # rows of one doc_id can differ in length
-    same = F.zip_with(F.slice(train, i - before + 1, length), F.slice(item, j - before + 1, length), lambda x, y: (x == y).cast("int"))
+    both = F.zip_with(F.slice(train, i - before + 1, length), F.slice(item, j - before + 1, length), lambda x, y: (x == y).cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    windows = F.array_max(F.transform(F.sequence(F.lit(1), F.size(same) - window + 1), lambda s: total(F.slice(same, s, window))))
-    whole = F.when((size == F.size(same)) & (total(same) == size), F.lit(window)).otherwise(0)
-    return F.when(F.size(same) >= window, windows).otherwise(F.when(size < window, whole).otherwise(0))
+
+    def judged(same: Column) -> Column:
+        windows = F.array_max(F.transform(F.sequence(F.lit(1), F.size(same) - window + 1), lambda s: total(F.slice(same, s, window))))
+        whole = F.when((size == F.size(same)) & (total(same) == size), F.lit(window)).otherwise(0)
+        return F.when(F.size(same) >= window, windows).otherwise(F.when(size < window, whole).otherwise(0))
+
+    # A lambda's own variable is worked out once; the words would else be compared for each mention of `same`.
+    return F.get(F.transform(F.array(both), judged), F.lit(0))
 
 
 def few_hits(placed: DataFrame, of_items: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     placed = seeds(texts, masks, short)
     if bytes_held <= BROADCAST_BYTES:
         hits = placed.join(F.broadcast(of_items), "seed")
-        train, i = around(F.col("at"), window, span)
+        train, i = F.col("words"), F.col("at")
     else:
         found = cut(few_hits(placed, of_items), "hits")
         # Documents stream through the join one by one; a hit leaves it with its own few words.
