@@ -9,9 +9,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -94,19 +95,35 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Joins rows to a table with one row a key at most, whatever share of the rows a key has.
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """Joins rows to a table with one row a key at most (inner or left), whatever share of the rows a key has.
 
     Keys of more than HOT_ROWS rows can't be many; their side of `one` is broadcast while its count is bounded, so that
-    their rows stay where they are. The other keys meet in a shuffle.
+    their rows stay where they are, and so do rows with a null key if these are many. The other keys meet in a shuffle.
+    Both tables are read more than once, so they should be stored ones; where `rows` isn't, `counted` is a stored table
+    that has about as many rows of each key, and `rows` is stored if there are hot keys.
     """
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS).select(*keys)
-    hot = cut(hot.na.drop(), "hot-keys")
-    if not hot.take(1):
+    often = (rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS).select(*keys)
+    if not often.take(1):
         return rows.join(one, keys, how)
-    hot = few(hot)
+    often, rows = cut(often, "hot-keys"), rows if counted is None else cut(rows, "rows")
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    hot, rest = few(often.where(known)), None
+    if often.where(~known).take(1):
+        rest, rows = rows.where(~known), rows.where(known)
     cold = rows.join(hot, keys, "left_anti").join(one, keys, how)
-    return cold.unionByName(rows.join(hot, keys, "left_semi").join(few(cut(one.join(hot, keys, "left_semi"), "hot")), keys, how))
+    out = cold.unionByName(rows.join(hot, keys, "left_semi").join(few(cut(one.join(hot, keys, "left_semi"), "hot")), keys, how))
+    return out.unionByName(rest, allowMissingColumns=True) if rest is not None and how == "left" else out
+
+
+def with_ids(docs: DataFrame, one: DataFrame) -> DataFrame:
+    """Documents with the row of their doc_id in a stored table, or nulls; broadcast if its count is bounded, which spares the texts a shuffle."""
+    return docs.join(F.broadcast(one), "doc_id", "left") if one.count() <= BROADCAST_IDS else join_one(docs, one, ["doc_id"], "left")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id isn't in a stored table of distinct ids; null doc_ids stay."""
+    return with_ids(docs, ids.select("doc_id", F.lit(True).alias("_gone"))).where(F.col("_gone").isNull()).drop("_gone")
 
 
 def slices(sizes, limit: int = SLICE_BYTES):

@@ -239,9 +239,8 @@ def roots(links: DataFrame) -> DataFrame:
         # A smaller label goes to both ends, and to the document that was their label.
         told = sides.where("la <> lb").select(F.explode(F.array("a", "b", "la", "lb")).alias("rep"), low.alias("label"))
         better = label.union(told).groupBy("rep").agg(F.min("label").alias("label"))
-        better = cut(better, "better")
         up = better.select(F.col("rep").alias("label"), F.col("label").alias("top"))
-        new = cut(join_one(better, up, ["label"], "left").select("rep", F.coalesce("top", "label").alias("label")), "labels")
+        new = cut(join_one(better, up, ["label"], "left", counted=label).select("rep", F.coalesce("top", "label").alias("label")), "labels")
         moved = new.join(label.withColumnRenamed("label", "was"), "rep").where("label <> was").take(1)
         label = new
         if not moved:
