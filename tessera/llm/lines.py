@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, shared_dir, text_slices, tidied
+from .common import cut, join_one, shared_dir, text_slices, tidied
 
 #: Code points that a key must have; shorter lines are never dropped.
 LEAST = 10
@@ -149,7 +149,7 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame, carry: tuple[str, ...] = ())
                 own = [part.column("doc_id"), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays([*own, *[part.column(c) for c in carry]], ["doc_id", "n_lines", "n_dropped", "text", *carry])
 
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).join(bitmaps, "doc_id", "left")
+    both = join_one(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry), cut(bitmaps, "bitmaps"), ["doc_id"], "left")
     own = StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long").add("text", "string")
     return both.mapInArrow(tidied(run), StructType([*own.fields, *carried.fields]))
 
