@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, few
+from .common import cut, with_ids
 
 #: Matches of a text that are added up at a time.
 PART = 256
@@ -152,7 +152,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     everywhere = sum(1 << k for k, r in enumerate(rules) if not trigram_query(r.pattern))
     found = candidates(docs, rules)
-    joined = docs.withColumn("rules", F.lit(0)) if found is None else docs.join(few(cut(found, "candidates")), "doc_id", "left")
+    joined = docs.withColumn("rules", F.lit(0)) if found is None else with_ids(docs, cut(found, "candidates"))
     bits = F.when(F.col("doc_id").isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("rules", F.lit(0)).bitwiseOR(F.lit(everywhere)))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     spans = [F.when((F.col("bits").bitwiseAND(F.lit(1 << k)) != 0) & F.regexp_like("text", F.lit(r.pattern)), rule_spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
