@@ -487,11 +487,18 @@ def test_shared_folder(spark):
     assert common.shared_dir(Unset("local[4]")).startswith("file:") and common.shared_dir(spark)
 
 
-def test_join_one(spark, small_limits):
-    rows = spark.createDataFrame([(k, i) for k, n in ((1, 10), (2, 1), (3, 5), (None, 4)) for i in range(n)], "k int, i int")
-    one = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k int, v string")
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_join_one(spark, bound, monkeypatch):
+    """Hot keys and many null ones, against a plain join; and documents with and without a set of ids."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "BROADCAST_IDS", bound)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 10), (2, 1), (3, 5), (None, 4)) for i in range(n)], "doc_id long, i int")
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "doc_id long, v string")
+    ordered = lambda df: sorted(map(tuple, df.collect()), key=repr)
     for how in ("inner", "left"):
-        assert sorted(map(tuple, common.join_one(rows, one, ["k"], how).collect()), key=repr) == sorted(map(tuple, rows.join(one, ["k"], how).collect()), key=repr)
+        assert ordered(common.join_one(rows, one, ["doc_id"], how)) == ordered(rows.join(one, ["doc_id"], how))
+    assert ordered(common.with_ids(rows, one)) == ordered(rows.join(one, ["doc_id"], "left"))
+    assert ordered(common.without_ids(rows, one.select("doc_id"))) == ordered(rows.join(one, ["doc_id"], "left_anti"))
 
 
 def test_encode_slice():
