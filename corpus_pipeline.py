@@ -20,9 +20,8 @@ LEAST_SCORE = 0.35
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't in `ids`, which are broadcast if their count is bounded."""
-    ids = common.cut(ids.distinct(), "dropped")
-    return docs.select(*COLUMNS).join(common.few(ids), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose doc_id isn't in `ids`."""
+    return common.without_ids(docs.select(*COLUMNS), common.cut(ids.distinct(), "dropped")).select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
