@@ -29,7 +29,7 @@ def report(spark: SparkSession, command: str, path: str, arg: str | None = None)
         df = spark.read.parquet(path)
         return scan.head(df.select(*[cell(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]), int(arg or 5))
     if command == "cat":
-        df = scan.scan(spark, path, reader="auto")
+        df = scan.scan(spark, path)
         return df.select(ndjson(df).alias("value"))
     if command == "stats":
         return metadata.footers(spark, path)

@@ -425,7 +425,7 @@ def time_and_defaults(spark, d):
     return read(spark, d, "nation").select("n_nationkey", fn.time_from_hms(k, F.lit(1), F.lit(1), F.lit(7)).alias("micros"), fn.value_or(name, "none").alias("name"), name.isNull().alias("missing"))
 
 
-@query("SELECT 2 AS type, min(least(c_acctbal, 3.0)) AS xmin, max(greatest(c_acctbal, 3.0)) AS xmax, min(c_custkey) * 1.0 AS ymin, max(c_custkey) + 1.0 AS ymax FROM customer")
+@query("SELECT 2 AS type, min(least(c_acctbal, CAST(3 AS DOUBLE))) AS xmin, max(greatest(c_acctbal, CAST(3 AS DOUBLE))) AS xmax, CAST(min(c_custkey) AS DOUBLE) AS ymin, CAST(max(c_custkey) + 1 AS DOUBLE) AS ymax FROM customer")
 def wkb_lines(spark, d):
     @F.pandas_udf("binary")
     def line(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -483,7 +483,7 @@ def round_trip(spark, d, table: str, layout: sink.Layout, arrow: bool) -> DataFr
         sink.write_arrow(df, path, layout)
     else:
         sink.write(df, path, layout)
-    return scan(spark, path, reader="auto")
+    return scan(spark, path)
 
 
 LAYOUTS = {
@@ -550,7 +550,7 @@ def buffer_source(spark, d):
     return custom.scan_source(spark, custom.buffer_source(data), ["n_name", "n_nationkey"])
 
 
-@query("SELECT n_nationkey, n_name, [n_regionkey, NULL] AS pair FROM nation")
+@query("SELECT n_nationkey, n_name, n_regionkey || ',null' AS pair FROM nation")
 def row_writer(spark, d):
     out = writer.RowWriter(layout=sink.Layout(rows_per_group=10))
     for c in (schema.column("n_nationkey", "int64").required(), schema.column("n_name", "string"), schema.list_of("pair", schema.column("element", "int64"))):
@@ -561,7 +561,7 @@ def row_writer(spark, d):
         out.set(1, r["n_name"])
         out.set("pair", [r["n_regionkey"], None])
         out.add_row()
-    return open_buffer(spark, out.close())
+    return open_buffer(spark, out.close()).select("n_nationkey", "n_name", F.array_join("pair", ",", "null").alias("pair"))
 
 
 @query("SELECT * FROM part")
@@ -596,7 +596,7 @@ def chunk_bounds(spark, d):
     return found.agg(F.min(F.col("min").cast("bigint")).cast("string").alias("low"), F.max(F.col("max").cast("bigint")).cast("string").alias("high"), F.sum("null_count").alias("null_count"))
 
 
-@query("SELECT column_name AS path, true AS has_bytes, 100.0 AS total FROM (DESCRIBE orders)")
+@query("SELECT column_name AS path, true AS has_bytes, CAST(100 AS DOUBLE) AS total FROM (DESCRIBE orders)")
 def size_breakdown(spark, d):
     found = metadata.column_summary(metadata.chunks(spark, f"{d}/orders.parquet"))
     total = found.agg(F.round(F.sum("pct")).cast("double").alias("total"))  # one row

@@ -19,12 +19,12 @@ from ..operators.filters import ColumnFilter, where_all
 REFUSED_CODECS, REFUSED_ENCODINGS = {"BROTLI", "LZO"}, {"BYTE_STREAM_SPLIT"}
 
 
-def needs_arrow(spark: SparkSession, path: str) -> bool:
-    """Whether Spark's reader refuses the files, by the first file's first row group; codecs and encodings are the same throughout a folder as a rule."""
-    names = spark.read.parquet(path).inputFiles()
-    if not names:
+def needs_arrow(df: DataFrame) -> bool:
+    """Whether Spark's reader refuses a scan's files, by the first file's first row group; codecs and encodings are the same throughout a folder as a rule."""
+    names = df._jdf.inputFiles()  # stays in the JVM but for one name
+    if not len(names):
         return False
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(names[0]), conf)
     reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
     try:
@@ -37,17 +37,17 @@ def needs_arrow(spark: SparkSession, path: str) -> bool:
         reader.close()
 
 
-def scan(spark: SparkSession, path: str, columns: list[str] | None = None, filters: tuple[ColumnFilter, ...] = (), schema=None, reader: str = "spark") -> DataFrame:
+def scan(spark: SparkSession, path: str, columns: list[str] | None = None, filters: tuple[ColumnFilter, ...] = (), schema=None, reader: str = "auto") -> DataFrame:
     """Rows of a file or folder; columns in the order asked for. Both columns and filters reach the Parquet reader.
 
     `schema` gives types that Spark doesn't infer, such as binary for UUID and half-precision columns. `reader` is `spark`,
-    `arrow` for files that Spark's reader refuses (brotli, byte stream split), or `auto` to look at a footer first.
+    `arrow` for files that Spark's reader refuses (brotli, byte stream split), or `auto`, which looks at one footer first.
     """
-    if reader == "arrow" or reader == "auto" and needs_arrow(spark, path):
-        wanted = columns if columns is None else [*dict.fromkeys([*[c for c in columns if isinstance(c, str)], *[f.column.split(".")[0] for f in filters]])]
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    if reader == "arrow" or reader == "auto" and needs_arrow(df):
+        columns = columns if columns is None else project(df, columns).columns
+        wanted = columns if columns is None else [*dict.fromkeys([*columns, *[f.column.split(".")[0] for f in filters]])]
         df = scan_arrow(spark, path, wanted, schema)
-    else:
-        df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     df = where_all(df, *filters)
     return project(df, columns) if columns is not None else df
 

@@ -176,14 +176,14 @@ def test_files_that_spark_refuses(spark, tmp_path):
     for name, layout in (("brotli", sink.Layout("brotli", rows_per_group=700)), ("split", sink.Layout(float_encoding="BYTE_STREAM_SPLIT"))):
         path = str(tmp_path / name)
         sink.write_arrow(df, path, layout)
-        assert scan.needs_arrow(spark, path)
-        back = scan.scan(spark, path, reader="auto")
+        assert scan.needs_arrow(spark.read.parquet(path))
+        back = scan.scan(spark, path)
         assert back.schema.simpleString() == df.schema.simpleString() and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
-        some = scan.scan(spark, path, ["x", "id"], (flt.cmp_i64("id", "lt", 10),), reader="auto")
+        some = scan.scan(spark, path, ["x", "id"], (flt.cmp_i64("id", "lt", 10),))
         assert some.columns == ["x", "id"] and some.count() == 10
     plain = str(tmp_path / "plain")
     sink.write(df, plain)
-    assert not scan.needs_arrow(spark, plain)
+    assert not scan.needs_arrow(spark.read.parquet(plain))
     with pytest.raises(ValueError):
         scan.scan_arrow(spark, plain, ["nope"])
 
