@@ -23,6 +23,9 @@ from .common import cut, join_one, shared_dir, text_slices, tidied
 #: Code points that a key must have; shorter lines are never dropped.
 LEAST = 10
 
+#: Bytes of all bitmaps up to which they are broadcast, and of a row beside its bitmap.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
+
 # The blanks that a key loses at both ends.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -149,7 +152,10 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame, carry: tuple[str, ...] = ())
                 own = [part.column("doc_id"), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays([*own, *[part.column(c) for c in carry]], ["doc_id", "n_lines", "n_dropped", "text", *carry])
 
-    both = join_one(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry), cut(bitmaps, "bitmaps"), ["doc_id"], "left")
+    wanted, stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry), cut(bitmaps, "bitmaps")
+    size = stored.agg(F.sum(F.octet_length("dropped") + ROW_BYTES)).first()[0] or 0
+    # The size decides, not the planner's guess: while the bitmaps are few, no text is shuffled.
+    both = wanted.join(F.broadcast(stored), "doc_id", "left") if size <= BROADCAST_BYTES else join_one(wanted, stored, ["doc_id"], "left")
     own = StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long").add("text", "string")
     return both.mapInArrow(tidied(run), StructType([*own.fields, *carried.fields]))
 
