@@ -123,7 +123,9 @@ def test_lines(docs, texts):
         assert (r.n_lines, r.n_dropped, r.text) == (len(own), len(own) - len(kept), "\n".join(kept))
 
 
-def test_lines_of_repeated_rows(repeated):
+@pytest.mark.parametrize("limit", [lines.BROADCAST_BYTES, -1])
+def test_lines_of_repeated_rows(repeated, small_limits, limit, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", limit)
     got = lines.dedup_lines(repeated).where("doc_id is null or doc_id in (908, 909, 3000)").collect()
     assert sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.text) for r in got) == sorted([(908, 1, 0, "tie of two words")] * 2 + [(909, 1, 1, ""), (0, 1, 0, ""), (0, 1, 0, ""), (0, 1, 0, "tie of two words")] + [(3000, 1, 0, t) for _, t in REPEATED[1:4]])
 
