@@ -116,8 +116,8 @@ def decimal_from_bytes(raw: Column, precision: int, scale: int) -> Column:
     return F.when(F.octet_length(raw) <= 16, text.try_cast(f"decimal({precision},{scale})"))
 
 
-def decimal_to_bytes(x: Column, scale: int, size: int = 16) -> Column:
-    """The unscaled integer of a decimal as big-endian two's complement bytes; null if it needs more than `size`."""
+def decimal_to_bytes(x: Column, scale: int, size: int = 16, grow: bool = False) -> Column:
+    """The unscaled integer of a decimal as big-endian two's complement bytes; if it needs more than `size`, null, or 16 bytes with `grow`."""
     text = x.cast(f"decimal(38,{scale})").cast("string")
     negative, size_of = text.startswith("-") & (x != 0), wide(F.regexp_replace(text, "[.-]", ""))
     bits = F.when(negative, size_of - F.lit(1).cast("decimal(1,0)")).otherwise(size_of).cast("decimal(38,0)")
@@ -127,7 +127,8 @@ def decimal_to_bytes(x: Column, scale: int, size: int = 16) -> Column:
     signed = F.when(negative, F.translate(digits, HEX, FLIPPED)).otherwise(digits)
     spare, first = F.left(signed, F.lit(32 - 2 * size)), F.conv(F.substring(signed, 33 - 2 * size, 1), 16, 10).cast("int") >= 8
     fits = (spare == F.when(negative, "F" * (32 - 2 * size)).otherwise("0" * (32 - 2 * size))) & (first == negative)
-    return F.when(fits, F.unhex(F.right(signed, F.lit(2 * size))))
+    kept = F.when(fits, F.right(signed, F.lit(2 * size)))
+    return F.unhex(kept.otherwise(signed) if grow else kept)
 
 
 def reverse_bytes(raw: Column) -> Column:
