@@ -62,8 +62,10 @@ def interval_from(count: Column, millis_each: int) -> Column:
 
 
 def interval_bytes(months: Column, days: Column, millis: Column) -> Column:
-    """Three little-endian unsigned 32-bit integers."""
-    return F.concat(*[F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(x.cast("bigint"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])) for x in (months, days, millis)])
+    """Three little-endian unsigned 32-bit integers; null if one doesn't fit."""
+    parts = [x.cast("bigint") for x in (months, days, millis)]
+    raw = F.concat(*[F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])) for x in parts])
+    return F.when((F.least(*parts) >= 0) & (F.greatest(*parts) <= UINT32_MAX), raw)
 
 
 def interval_parts(raw: Column) -> Column:
@@ -72,6 +74,20 @@ def interval_parts(raw: Column) -> Column:
     return F.struct(number(1).alias("months"), number(5).alias("days"), number(9).alias("millis"))
 
 
+def interval_words(months: Column, days: Column, millis: Column) -> Column:
+    """Any 64-bit parts as a list of intervals of 12 bytes: one, or the lower and the upper halves where some part needs more than 32 bits."""
+    parts = [x.cast("bigint") for x in (months, days, millis)]
+    upper = [F.shiftrightunsigned(x, 32) for x in parts]
+    low = interval_bytes(*[x.bitwiseAND(F.lit(UINT32_MAX)) for x in parts])
+    return F.when(F.greatest(*upper) > 0, F.array(low, interval_bytes(*upper))).otherwise(F.array(low))
+
+
+def interval_whole(words: Column) -> Column:
+    """struct<months, days, millis> of a list that interval_words made."""
+    low, high = (interval_parts(F.get(words, F.lit(k))) for k in (0, 1))
+    return F.struct(*[F.shiftleft(F.coalesce(high[c], F.lit(0)), 32).bitwiseOR(low[c]).alias(c) for c in ("months", "days", "millis")])
+
+
 def interval_text(months: Column, days: Column, millis: Column) -> Column:
     """ISO 8601 text such as P1M15DT1H; P0D for nothing."""
     part = lambda n, letter: F.when(n > 0, F.concat(n.cast("string"), F.lit(letter))).otherwise("")

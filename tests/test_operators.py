@@ -103,6 +103,21 @@ def test_scalars(spark):
     assert [fn.decimal_byte_length(p) for p in (1, 9, 18, 38)] == [1, 4, 8, 16]
 
 
+def test_interval_bytes(spark):
+    """One interval is 12 bytes or null, never other numbers; what needs more is a list of two."""
+    most = (1 << 32) - 1
+    rows = [(0, 0, 0), (1, 15, 3_600_000), (most, most, most), (0, 0, most + 1), (0, most + 1, 0), (most + 5, 0, 7), (-1, 0, 0), (0, -(1 << 63), (1 << 63) - 1), (1, None, 2)]
+    df = spark.createDataFrame(rows, "m bigint, d bigint, s bigint")
+    parts = [F.col(c) for c in df.columns]
+    got = df.select("m", "d", "s", fn.interval_bytes(*parts).alias("raw"), fn.interval_words(*parts).alias("words")).select("*", fn.interval_parts(F.col("raw")).alias("p"), fn.interval_whole(F.col("words")).alias("w"))
+    for r in got.collect():
+        want = (r.m, r.d, r.s)
+        fits = None not in want and all(0 <= x <= most for x in want)
+        assert (bytes(r.raw) if r.raw is not None else None) == (struct.pack("<3I", *want) if fits else None)
+        assert tuple(r.p) == (want if fits else (None,) * 3) and tuple(r.w) == ((None,) * 3 if None in want else want)
+        assert None in want or [bytes(x) for x in r.words] == [struct.pack("<3I", *[x >> shift & most for x in want]) for shift in ([0] if fits else [0, 32])]
+
+
 def test_decimal_bytes(spark):
     """All widths, signs and the largest sizes, byte for byte."""
     values = [0, 1, -1, 127, -128, -385, 2**63 - 1, -(2**63), 2**64, -(2**64), 10**38 - 1, 1 - 10**38, 12345678901234567890123, -12345678901234567890123]
